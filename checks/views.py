@@ -17,7 +17,7 @@ from pagewright.operators.extract import extract_text, page_outlinks
 from pagewright.operators.index import Index, build_index
 from pagewright.operators.ordinals import ordinal_in_group
 from pagewright.params import CrawlParams, IndexParams, SearchParams
-from pagewright.session import materialize, tune
+from pagewright.session import materialize, spread, tune
 
 # Query id, text, domain filter. One word, two words, stop word, unknown word,
 # blank, accents, a domain, "all", punctuation and case.
@@ -43,7 +43,7 @@ SMALL_CRAWL = CrawlParams(max_pages=100, max_depth=3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(tune(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ntz(text: str) -> Column:

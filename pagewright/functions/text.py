@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The characters that count as white space, as line ends, and as
-# parts of a word.
-SPACE_CHARS = (
-    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}"
-    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The characters that count as white space, the line ends among
+# them, and what a word is made of.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_END_CHARS = r"\x{0a}-\x{0d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
+LINE_ENDS = r"[\x{0a}-\x{0d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 WORD_CHARS = r"\p{L}\p{N}_"
 
 
@@ -27,23 +28,19 @@ def _col(c: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Remove white space at both ends."""
-    return F.regexp_replace(_col(text), f"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$", "")
+    return F.btrim(_col(text), F.lit(SPACES))
 
 
 def clean_text(text: Column | str) -> Column:
     """Collapse white space, strip, blank out punctuation, lower-case."""
-    collapsed = strip(F.regexp_replace(_col(text), f"[{SPACE_CHARS}]+", " "))
-    return F.lower(F.regexp_replace(collapsed, f"[^{WORD_CHARS}{SPACE_CHARS}]", " "))
+    collapsed = F.trim(F.regexp_replace(_col(text), f"[{SPACES}]+", " "))
+    return F.lower(F.regexp_replace(collapsed, f"[^{WORD_CHARS} ]", " "))
 
 
 def join_lines(text: Column | str) -> Column:
-    """Strip each line, drop blank lines, join the rest with one space.
-
-    A run of white space that holds a line end is what separates two non-blank
-    lines, so one replacement per run does it.
-    """
-    gap = f"[{SPACE_CHARS}&&[^{LINE_END_CHARS}]]*+[{LINE_END_CHARS}][{SPACE_CHARS}]*+"
-    return strip(F.regexp_replace(_col(text), gap, " "))
+    """Strip each line, drop blank lines, join the rest with one space."""
+    lines = F.transform(F.split(_col(text), LINE_ENDS), strip)
+    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
 
 
 def weighted_text(title: Column | str, content: Column | str) -> Column:
@@ -51,20 +48,16 @@ def weighted_text(title: Column | str, content: Column | str) -> Column:
     return F.concat_ws(" ", _col(title), _col(title), _col(content))
 
 
-def tokens(text: Column | str) -> Column:
-    """Lower-cased words of two or more word characters, in order.
+def tokens(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
+    """Lower-cased words of two or more word characters, without stop words.
 
     Equal to tokenising ``clean_text(text)``: cleaning only changes characters
     that separate words, so it needs no pass of its own.
     """
-    pattern = F.lit(f"[{WORD_CHARS}]{{2,}}")
-    return F.regexp_extract_all(F.lower(_col(text)), pattern, F.lit(0))
-
-
-def drop_stop_words(words: Column | str, stop_words: Sequence[str]) -> Column:
+    words = F.split(F.lower(_col(text)), f"[^{WORD_CHARS}]+")
     if not stop_words:
-        return _col(words)
-    return F.filter(_col(words), lambda w: ~w.isin(list(stop_words)))
+        return F.filter(words, lambda w: F.length(w) > 1)
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(list(stop_words)))
 
 
 def bigrams(words: Column | str) -> Column:

@@ -122,44 +122,57 @@ def _remove_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), rooted).otherwise(path)
 
 
-def resolve_url(base: Column | str, href: Column | str) -> Column:
-    """Absolute form of ``href`` found on the page ``base``, cleaned up.
+def base_parts(base: Column | str) -> dict[str, Column]:
+    """What resolving references against ``base`` needs to know of it."""
+    base = _tidy(_col(base))
+    scheme = F.lower(F.regexp_extract(base, _PARTS, 1))
+    path = F.regexp_replace(F.regexp_extract(base, _PARTS, 4), r"(^|/)([^/;]*);[^/]*$", "$1$2")
+    host = F.regexp_extract(base, _PARTS, 3)
+    return {
+        "scheme": scheme,
+        "root": F.when(host != "", F.concat(scheme, F.lit("://"), host)).otherwise(F.lit("")),
+        "path": path,
+        "folder": F.concat(F.lit("/"), F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)),
+        "query": F.regexp_extract(base, _PARTS, 5),
+    }
+
+
+def resolve_against(base: dict[str, Column], href: Column) -> Column:
+    """Absolute, cleaned-up form of a reference, given the parts of its base.
 
     Covers absolute, scheme-relative, root-relative, relative with dot
     segments, query-only, fragment-only and empty references. Null when the
-    result has no host.
+    reference has a scheme but no host.
     """
-    base = _tidy(_col(base))
-    href = _tidy(_col(href))
-
-    def part(text: Column, group: int) -> Column:
-        return F.regexp_extract(text, _PARTS, group)
-
-    base_root = F.regexp_extract(base, rf"^({_SCHEME}://[^/?#]*)", 1)
-    base_scheme = part(base, 1)
-    base_path = F.regexp_replace(part(base, 4), r"(^|/)([^/;]*);[^/]*$", "$1$2")
-    path = part(href, 4)
-    folder = F.regexp_extract(base_path, r"^(.*/)?[^/]*$", 1)
-    merged = F.regexp_replace(F.concat(F.lit("/"), folder, path), r"/{2,}", "/")
-    own_scheme = (part(href, 1) != "") & (F.lower(part(href, 1)) != F.lower(base_scheme))
+    def part(group: int) -> Column:
+        return F.regexp_extract(href, _PARTS, group)
+
+    scheme, host, path, query = F.lower(part(1)), part(2), part(4), part(5)
+    merged = F.regexp_replace(F.concat(base["folder"], path), r"/{2,}", "/")
+    own_query = F.when(query.isin("", "?"), base["query"]).otherwise(query)
     absolute = (
-        F.when(own_scheme, F.when(part(href, 2) != "", href))
-        .when(
-            part(href, 2) != "",
-            F.concat(base_scheme, F.lit(":"), F.regexp_replace(href, rf"^{_SCHEME}:", "")),
-        )
-        .when(path == "", F.concat(
-            base_root, base_path,
-            F.when(part(href, 5).isin("", "?"), part(base, 5)).otherwise(part(href, 5)),
+        F.when((scheme != "") & (scheme != base["scheme"]), F.when(host != "", href))
+        .when(host != "", F.concat(
+            base["scheme"], F.lit(":"), F.regexp_replace(href, rf"^{_SCHEME}:", "")
         ))
-        .when(F.startswith(path, F.lit("/")),
-              F.concat(base_root, _remove_dots(path), part(href, 5)))
-        .otherwise(F.concat(base_root, _remove_dots(merged), part(href, 5)))
+        .when(path == "", F.concat(base["root"], base["path"], own_query))
+        .when(F.startswith(path, F.lit("/")), F.concat(base["root"], _remove_dots(path), query))
+        .otherwise(F.concat(base["root"], _remove_dots(merged), query))
     )
     # The common case on real pages needs none of the parsing above.
-    plain_root = href.rlike(r"^/[^/?#;.][^?#;.]*$") & (base_root != "")
-    return F.when(
-        plain_root,
-        F.concat(F.lower(base_scheme), F.substr(base_root, F.length(base_scheme) + 1), href),
-    ).otherwise(canonical_url(absolute))
+    plain_root = href.rlike(r"^/(?:[^/?#;][^?#;]*)?$")
+    no_dot_segment = ~F.contains(href, F.lit("/."))
+    return F.when(plain_root & no_dot_segment, F.concat(base["root"], href)).otherwise(
+        canonical_url(absolute)
+    )
+
+
+def resolve_url(base: Column | str, href: Column | str) -> Column:
+    """Absolute, cleaned-up form of ``href`` found on the page ``base``."""
+    return resolve_against(base_parts(base), _tidy(_col(href)))
+
 
+def resolve_all(base: dict[str, Column], hrefs: Column | str) -> Column:
+    """``resolve_against`` for an array of references."""
+    tidy = F.transform(_col(hrefs), _tidy)
+    return F.transform(tidy, lambda h: resolve_against(base, h))

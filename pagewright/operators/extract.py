@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import html as H
 from pagewright.functions.html_strict import join_urls, read_pages
-from pagewright.functions.urls import canonical_url, extract_domain, is_web_url, resolve_url
+from pagewright.functions.urls import (
+    base_parts,
+    canonical_url,
+    extract_domain,
+    is_web_url,
+    resolve_all,
+)
 
 PARSERS = ("auto", "native", "strict")
 
@@ -52,19 +58,34 @@ def extract_text(pages: DataFrame, parser: str = "auto", links: bool = True) ->
     return parsed.select(*keep, *merged)
 
 
-def _absolute(base: str, href: str, parser: str) -> Column:
-    if parser == "strict":
-        return canonical_url(join_urls(F.col(base), F.col(href)))
-    return resolve_url(F.col(base), F.col(href))
+def _with_links(extracted: DataFrame, name: str) -> DataFrame:
+    """Adds the resolved ``hrefs``, null or not a web URL where there is none.
+
+    The parts of the base are columns of their own, so a page works them out
+    once and not once per link.
+    """
+    parts = base_parts("url")
+    based = extracted.select("*", *[c.alias(f"_base_{n}") for n, c in parts.items()])
+    base = {n: F.col(f"_base_{n}") for n in parts}
+    linked = based.withColumn(name, resolve_all(base, "hrefs"))
+    return linked.select(*extracted.columns, name)
 
 
 def resolved_links(extracted: DataFrame, parser: str = "native") -> DataFrame:
-    """One row per anchor with a web target: page columns, pos, href, link.
+    """One row per anchor with a web target: page_id, url, pos, href, link.
 
-    Narrow: every link comes out of its own page's row.
+    Narrow: every link comes out of its own page's row. ``strict`` resolves
+    with the standard library instead of expressions.
     """
-    anchors = extracted.select("page_id", "url", F.posexplode("hrefs").alias("pos", "href"))
-    linked = anchors.withColumn("link", _absolute("url", "href", parser))
+    if parser == "strict":
+        rows = extracted.select("page_id", "url", F.posexplode("hrefs").alias("pos", "href"))
+        linked = rows.withColumn("link", canonical_url(join_urls("url", "href")))
+    else:
+        pairs = _with_links(extracted, "_links").withColumn(
+            "_pairs", F.arrays_zip(F.col("hrefs").alias("href"), F.col("_links").alias("link"))
+        )
+        rows = pairs.select("page_id", "url", F.posexplode("_pairs").alias("pos", "_l"))
+        linked = rows.select("page_id", "url", "pos", "_l.href", "_l.link")
     return linked.where(is_web_url("link"))
 
 
@@ -74,12 +95,9 @@ def page_outlinks(extracted: DataFrame, allowed: Column | None = None) -> DataFr
     The links of one page are one array, so duplicates go inside the row and
     nothing is shuffled. ``allowed`` filters a column named ``link``.
     """
-    links = F.filter(
-        F.transform("hrefs", lambda h: resolve_url(F.col("url"), h)),
-        lambda link: is_web_url(link),
-    )
-    unique = extracted.select("page_id", "url", F.array_distinct(links).alias("_links"))
-    rows = unique.select("page_id", "url", F.posexplode("_links").alias("pos", "link"))
+    links = F.array_distinct(F.filter("_links", lambda link: is_web_url(link)))
+    unique = _with_links(extracted, "_links").select("page_id", "url", links.alias("_unique"))
+    rows = unique.select("page_id", "url", F.posexplode("_unique").alias("pos", "link"))
     return rows if allowed is None else rows.where(allowed)
 
 

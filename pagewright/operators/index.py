@@ -12,13 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import (
-    bigrams,
-    drop_stop_words,
-    tokens,
-    weighted_text,
-    with_term_counts,
-)
+from pagewright.functions.text import bigrams, tokens, weighted_text, with_term_counts
 from pagewright.functions.urls import fill_domain
 from pagewright.params import IndexParams
 from pagewright.session import materialize, work_path
@@ -36,7 +30,7 @@ def index_docs(pages: DataFrame) -> DataFrame:
 
 def doc_words(docs: DataFrame, params: IndexParams, *keep: str) -> DataFrame:
     """page_id and the array of words without stop words."""
-    words = drop_stop_words(tokens(weighted_text("title", "content")), params.stop_list())
+    words = tokens(weighted_text("title", "content"), params.stop_list())
     return docs.select("page_id", *keep, words.alias("words"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import drop_stop_words, snippet, strip, tokens, with_term_counts
+from pagewright.functions.text import snippet, strip, tokens, with_term_counts
 from pagewright.operators.index import Index, weigh
 from pagewright.params import SearchParams
 from pagewright.session import materialize
@@ -31,7 +31,7 @@ def query_vectors(queries: DataFrame, index: Index) -> DataFrame:
     asked = with_filter_key(queries).where(~F.col("blank"))
     words = asked.select(
         "query_id", "key",
-        drop_stop_words(tokens("query"), index.params.stop_list()).alias("words"),
+        tokens("query", index.params.stop_list()).alias("words"),
     )
     counts = with_term_counts(words, "words", "query_id", "key")
     return weigh(counts, index.vocab, index.params, "query_id").select(
