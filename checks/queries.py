@@ -154,10 +154,7 @@ def extract_domain(spark, sf):
 
 @query
 def valid_url(spark, sf):
-    anchors = V.extracted(spark, sf).select(
-        "page_id", "url", F.posexplode("hrefs").alias("pos", "href")
-    )
-    return anchors.select(
+    return extract.anchors(V.extracted(spark, sf)).select(
         "page_id", F.col("pos").cast("long").alias("pos"),
         urls.is_web_url("href").alias("href_valid"), urls.is_web_url("url").alias("url_valid"),
     )
@@ -175,7 +172,7 @@ def allowed_domain_filter(spark, sf):
 
 @query
 def extract_anchors(spark, sf):
-    rows = V.extracted(spark, sf).select("page_id", F.posexplode("hrefs").alias("pos", "href"))
+    rows = extract.anchors(V.extracted(spark, sf)).drop("url")
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -305,7 +302,7 @@ def tokens(spark, sf):
 @query
 def tokens_no_stop(spark, sf):
     words = ix.doc_words(V.docs(spark, sf), INDEX)
-    rows = words.select("page_id", F.posexplode("words").alias("pos", "word"))
+    rows = words.select("page_id", F.posexplode(text.computed("words")).alias("pos", "word"))
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 

@@ -26,6 +26,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed(array: Column | str) -> Column:
+    """An array to explode that is worked out rather than read.
+
+    Exploding a bare column makes Spark filter on the column's size first, and
+    so work the array out again for the filter. An expression does not.
+    """
+    return F.transform(_col(array), lambda x: x)
+
+
 def strip(text: Column | str) -> Column:
     """Remove white space at both ends."""
     return F.btrim(_col(text), F.lit(SPACES))

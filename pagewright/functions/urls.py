@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _tidy(url: Column) -> Column:
     """URL parsers ignore control characters in front, and tabs and line ends."""
     return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
@@ -97,28 +102,29 @@ def canonical_url(url: Column | str) -> Column:
     no_fragment = F.regexp_replace(_tidy(_col(url)), r"#.*$", "")
     no_params = F.regexp_replace(no_fragment, r"^([^?]*/[^/?;]*);[^/?]*", "$1")
     bare_query = F.regexp_replace(no_params, r"\?$", "")
-    scheme = F.regexp_extract(bare_query, rf"^({_SCHEME}):", 1)
-    return F.concat(F.lower(scheme), F.substr(bare_query, F.length(scheme) + 1))
+    return _let(bare_query, lambda u: F.concat(
+        F.lower(F.regexp_extract(u, rf"^({_SCHEME}):", 1)),
+        F.regexp_replace(u, rf"^{_SCHEME}:", ":"),
+    ))
 
 
 def _remove_dots(path: Column) -> Column:
     """Work off ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(path, "/")
-    last = F.get(segments, F.size(segments) - 1)
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    def kept(segments: Column) -> Column:
+        return F.aggregate(
+            segments,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(
+                s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+            )
+            .when(s == ".", acc)
+            .otherwise(F.array_append(acc, s)),
         )
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    closed = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
-    joined = F.array_join(closed, "/")
-    rooted = F.when(F.startswith(joined, F.lit("/")), joined).otherwise(
-        F.concat(F.lit("/"), joined)
-    )
+
+    # A path that ends in a dot segment names a folder.
+    as_folder = F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/")
+    joined = F.array_join(kept(F.split(as_folder, "/")), "/")
+    rooted = F.regexp_replace(joined, r"^(?!/)", "/")
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), rooted).otherwise(path)
 
 
@@ -144,26 +150,28 @@ def resolve_against(base: dict[str, Column], href: Column) -> Column:
     segments, query-only, fragment-only and empty references. Null when the
     reference has a scheme but no host.
     """
-    def part(group: int) -> Column:
-        return F.regexp_extract(href, _PARTS, group)
-
-    scheme, host, path, query = F.lower(part(1)), part(2), part(4), part(5)
-    merged = F.regexp_replace(F.concat(base["folder"], path), r"/{2,}", "/")
-    own_query = F.when(query.isin("", "?"), base["query"]).otherwise(query)
-    absolute = (
-        F.when((scheme != "") & (scheme != base["scheme"]), F.when(host != "", href))
-        .when(host != "", F.concat(
-            base["scheme"], F.lit(":"), F.regexp_replace(href, rf"^{_SCHEME}:", "")
-        ))
-        .when(path == "", F.concat(base["root"], base["path"], own_query))
-        .when(F.startswith(path, F.lit("/")), F.concat(base["root"], _remove_dots(path), query))
-        .otherwise(F.concat(base["root"], _remove_dots(merged), query))
-    )
+    names = {"scheme": 1, "host": 3, "path": 4, "query": 5}
+    parts = F.struct(*[F.regexp_extract(href, _PARTS, g).alias(n) for n, g in names.items()])
+
+    def absolute(p: Column) -> Column:
+        scheme = F.lower(p["scheme"])
+        merged = F.regexp_replace(F.concat(base["folder"], p["path"]), r"/{2,}", "/")
+        rooted = F.when(F.startswith(p["path"], F.lit("/")), p["path"]).otherwise(merged)
+        own_query = F.when(p["query"].isin("", "?"), base["query"]).otherwise(p["query"])
+        return (
+            F.when((scheme != "") & (scheme != base["scheme"]), F.when(p["host"] != "", href))
+            .when(p["host"] != "", F.concat(
+                base["scheme"], F.lit(":"), F.regexp_replace(href, rf"^{_SCHEME}:", "")
+            ))
+            .when(p["path"] == "", F.concat(base["root"], base["path"], own_query))
+            .otherwise(F.concat(base["root"], _let(rooted, _remove_dots), p["query"]))
+        )
+
     # The common case on real pages needs none of the parsing above.
     plain_root = href.rlike(r"^/(?:[^/?#;][^?#;]*)?$")
     no_dot_segment = ~F.contains(href, F.lit("/."))
     return F.when(plain_root & no_dot_segment, F.concat(base["root"], href)).otherwise(
-        canonical_url(absolute)
+        canonical_url(_let(parts, absolute))
     )
 
 

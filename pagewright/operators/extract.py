@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import html as H
 from pagewright.functions.html_strict import join_urls, read_pages
+from pagewright.functions.text import computed
 from pagewright.functions.urls import (
     base_parts,
     canonical_url,
@@ -71,6 +72,11 @@ def _with_links(extracted: DataFrame, name: str) -> DataFrame:
     return linked.select(*extracted.columns, name)
 
 
+def anchors(extracted: DataFrame) -> DataFrame:
+    """One row per anchor with an ``href``: page_id, url, pos, href."""
+    return extracted.select("page_id", "url", F.posexplode(computed("hrefs")).alias("pos", "href"))
+
+
 def resolved_links(extracted: DataFrame, parser: str = "native") -> DataFrame:
     """One row per anchor with a web target: page_id, url, pos, href, link.
 
@@ -78,14 +84,13 @@ def resolved_links(extracted: DataFrame, parser: str = "native") -> DataFrame:
     with the standard library instead of expressions.
     """
     if parser == "strict":
-        rows = extracted.select("page_id", "url", F.posexplode("hrefs").alias("pos", "href"))
-        linked = rows.withColumn("link", canonical_url(join_urls("url", "href")))
+        linked = anchors(extracted).withColumn("link", canonical_url(join_urls("url", "href")))
     else:
-        pairs = _with_links(extracted, "_links").withColumn(
-            "_pairs", F.arrays_zip(F.col("hrefs").alias("href"), F.col("_links").alias("link"))
+        pairs = F.arrays_zip("hrefs", "_links")
+        rows = _with_links(extracted, "_links").select(
+            "page_id", "url", F.posexplode(pairs).alias("pos", "_l")
         )
-        rows = pairs.select("page_id", "url", F.posexplode("_pairs").alias("pos", "_l"))
-        linked = rows.select("page_id", "url", "pos", "_l.href", "_l.link")
+        linked = rows.select("page_id", "url", "pos", F.col("_l.hrefs").alias("href"), F.col("_l._links").alias("link"))
     return linked.where(is_web_url("link"))
 
 
@@ -96,8 +101,9 @@ def page_outlinks(extracted: DataFrame, allowed: Column | None = None) -> DataFr
     nothing is shuffled. ``allowed`` filters a column named ``link``.
     """
     links = F.array_distinct(F.filter("_links", lambda link: is_web_url(link)))
-    unique = _with_links(extracted, "_links").select("page_id", "url", links.alias("_unique"))
-    rows = unique.select("page_id", "url", F.posexplode("_unique").alias("pos", "link"))
+    rows = _with_links(extracted, "_links").select(
+        "page_id", "url", F.posexplode(links).alias("pos", "link")
+    )
     return rows if allowed is None else rows.where(allowed)
 
 
