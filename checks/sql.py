@@ -253,6 +253,26 @@ CTES: dict[str, str] = {
         SELECT page_id AS query_id, title AS query,
                CASE WHEN page_id % 2 = 0 THEN domain END AS domain_filter FROM records WHERE depth = 0
         UNION ALL SELECT -1, '', NULL""",
+    "adjacent": """
+        SELECT l.url, list(l.link ORDER BY l.pos) AS kids
+        FROM graph_links l JOIN pages p ON p.url = l.link GROUP BY l.url""",
+    "dfs_walk": """
+        SELECT 0 AS step, list({'url': url, 'depth': 0, 'parent': NULL::VARCHAR} ORDER BY ord) AS stack,
+               []::VARCHAR[] AS seen, NULL::VARCHAR AS url, 0 AS depth, NULL::VARCHAR AS parent_url, false AS fresh
+        FROM seeds
+        UNION ALL
+        SELECT step + 1,
+               CASE WHEN known OR top.depth >= 3 OR kids IS NULL THEN stack[2:]
+                    ELSE list_concat(list_transform(kids, lambda k:
+                           {'url': k, 'depth': top.depth + 1, 'parent': top.url}), stack[2:]) END,
+               CASE WHEN known THEN seen ELSE list_append(seen, top.url) END,
+               top.url, top.depth, top.parent, NOT known
+        FROM (SELECT *, stack[1] AS top, list_contains(seen, stack[1].url) AS known
+              FROM dfs_walk WHERE len(stack) > 0 AND len(seen) < 100) d
+        LEFT JOIN adjacent a ON a.url = d.top.url""",
+    "dfs_reached": """
+        SELECT url, depth, parent_url, row_number() OVER (ORDER BY step) AS crawl_order
+        FROM dfs_walk WHERE fresh""",
     **_index_ctes("d_", "docs"),
     **_search_ctes("s_", "docs", "all_queries", "d_"),
     **_search_ctes("e_", "docs", "source_blanks", "d_"),
@@ -270,20 +290,19 @@ CTES: dict[str, str] = {
 _NAME = re.compile(r"\b[a-z_][a-z_0-9]*\b")
 
 
-def _needed(sql: str, found: list[str]) -> None:
+def _needed(sql: str, found: list[str], inside: tuple[str, ...] = ()) -> None:
     for name in _NAME.findall(sql):
-        if name in CTES and name not in found:
-            _needed(CTES[name], found)
-            if name not in found:
-                found.append(name)
+        if name in CTES and name not in found and name not in inside:
+            _needed(CTES[name], found, (*inside, name))
+            found.append(name)
 
 
 def with_ctes(sql: str) -> str:
     """Prefix ``sql`` with the views it names, in order of dependency."""
     names: list[str] = []
     _needed(sql, names)
-    parts = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in names)
-    return f"WITH {parts}\n{sql}" if parts else sql
+    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in names)
+    return f"WITH RECURSIVE {parts}\n{sql}" if parts else sql
 
 
 _RANKED = "SELECT query_id, rank, page_id, round(score, 6) AS score"
@@ -387,6 +406,13 @@ FINAL: dict[str, str] = {
     "bfs_parents": "SELECT url, depth, parent_url, crawl_order FROM reached",
     "bfs_budget": "SELECT url, depth, parent_url, crawl_order FROM reached WHERE crawl_order <= 100",
     "page_routes": "SELECT page_id, route FROM routes",
+    "dfs_crawl": "SELECT url, depth, parent_url, crawl_order FROM dfs_reached",
+    "coverage_compare": """
+        SELECT count(b.url) FILTER (d.url IS NOT NULL) AS both,
+               count(b.url) FILTER (d.url IS NULL) AS bfs_only,
+               count(d.url) FILTER (b.url IS NULL) AS dfs_only
+        FROM (SELECT url FROM reached WHERE crawl_order <= 100) b
+        FULL JOIN dfs_reached d ON b.url = d.url""",
     "dfs_tree_order": "SELECT url, depth, row_number() OVER (ORDER BY path) AS visit FROM reached",
     "crawl_status": f"""
         SELECT crawl_id, CASE WHEN is_crawling THEN 'crawling' ELSE 'completed' END AS status,

@@ -102,7 +102,7 @@ def top_rows(df: DataFrame, group: str, order: list[Column], limit: int, name: s
     spark = df.sparkSession
     native = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if limit > native:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(_SALTS)))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
         part = Window.partitionBy(group, "_salt").orderBy(*order)
         salted = salted.withColumn("_part", F.row_number().over(part))
         df = salted.where(F.col("_part") <= limit).drop("_salt", "_part")
