@@ -317,24 +317,26 @@ def term_freq(spark, sf):
     return ix.term_freq(V.docs(spark, sf), INDEX)
 
 
-def _frequencies(spark, sf):
-    docs = V.docs(spark, sf)
-    return ix.doc_freq(ix.term_freq(docs, INDEX), docs, INDEX)
-
-
 @query
 def doc_freq(spark, sf):
-    return _frequencies(spark, sf)
+    return ix.doc_freq(V.docs(spark, sf), INDEX)
 
 
 @query
 def vocabulary(spark, sf):
-    return ix.vocabulary(_frequencies(spark, sf), INDEX)
+    return ix.vocabulary(ix.frequent_terms(V.docs(spark, sf), INDEX), INDEX)
+
+
+@query
+def vocabulary_pruned(spark, sf):
+    """The same vocabulary, dropping hopeless word pairs before the shuffle."""
+    params = IndexParams(prune_pairs_from=0)
+    return ix.vocabulary(ix.frequent_terms(V.docs(spark, sf), params), params)
 
 
 @query
 def idf(spark, sf):
-    vocab = ix.vocabulary(_frequencies(spark, sf), INDEX)
+    vocab = ix.vocabulary(ix.frequent_terms(V.docs(spark, sf), INDEX), INDEX)
     return rounded(ix.with_idf(vocab, V.docs(spark, sf)).select("term", "df", "idf"), "idf")
 
 

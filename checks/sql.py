@@ -378,6 +378,7 @@ FINAL: dict[str, str] = {
     "term_freq": "SELECT page_id, term, tf FROM d_tf",
     "doc_freq": "SELECT term, df, cf FROM d_df",
     "vocabulary": "SELECT term, df, cf FROM d_vocab",
+    "vocabulary_pruned": "SELECT term, df, cf FROM d_vocab",
     "idf": "SELECT term, df, round(idf, 6) AS idf FROM d_idf",
     "tfidf_postings": "SELECT page_id, domain, term, tf, round(weight, 6) AS weight FROM d_postings",
     "index_summary": """

@@ -70,7 +70,7 @@ def tokens(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
 
 
 def bigrams(words: Column | str) -> Column:
-    """Neighbouring pairs of an array of words."""
+    """Neighbouring pairs of an array of words; null where a word is null."""
     words = _col(words)
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.zip_with(
@@ -80,13 +80,16 @@ def bigrams(words: Column | str) -> Column:
     )
 
 
-def with_term_counts(df: DataFrame, words: str, *keep: str, pairs: bool = True) -> DataFrame:
-    """One row per distinct term of each row's word array: ``keep``, term, tf.
+def words_and_pairs(words: Column | str) -> Column:
+    return F.concat(_col(words), bigrams(words))
+
+
+def with_counts(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """One row per distinct term of each row's array: ``keep``, term, tf.
 
     A document is one row, so its terms are counted inside the row: sort them,
     find where each run starts, take run lengths. Nothing is shuffled.
     """
-    terms = F.concat(F.col(words), bigrams(words)) if pairs else F.col(words)
     sorted_terms = df.select(*keep, F.sort_array(terms).alias("_t"))
     n = F.size("_t")
     starts = F.filter(

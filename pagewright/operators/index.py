@@ -1,8 +1,8 @@
 """The TF-IDF index.
 
-Shuffles, in order: distinct terms for document frequencies (combined on the
-map side), and the in-vocabulary postings by page for the row norm. Counting
-terms per page happens inside the page's row.
+Terms are counted inside their page's row, so text is never shuffled. What is:
+term counts, combined on the map side and on large corpora pruned to pairs of
+frequent words; then the postings inside the vocabulary, for the row norm.
 """
 
 from __future__ import annotations
@@ -12,12 +12,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import bigrams, tokens, weighted_text, with_term_counts
+from pagewright.functions.text import (
+    bigrams,
+    tokens,
+    weighted_text,
+    with_counts,
+    words_and_pairs,
+)
 from pagewright.functions.urls import fill_domain
 from pagewright.params import IndexParams
 from pagewright.session import materialize, work_path
 
-# A vocabulary up to this many rows is joined by broadcast.
+# Terms up to this many rows are joined by broadcast.
 _BROADCAST_ROWS = 200_000
 
 
@@ -50,21 +56,53 @@ def ngram_positions(docs: DataFrame, params: IndexParams) -> DataFrame:
 
 
 def term_freq(docs: DataFrame, params: IndexParams, *keep: str) -> DataFrame:
-    """page_id, term, tf."""
-    return with_term_counts(doc_words(docs, params, *keep), "words", "page_id", *keep)
+    """page_id, term, tf of all words and word pairs."""
+    words = doc_words(docs, params, *keep)
+    return with_counts(words, words_and_pairs("words"), "page_id", *keep)
 
 
-def doc_freq(tf: DataFrame, docs: DataFrame, params: IndexParams) -> DataFrame:
-    """term, df, cf of the terms within the document-frequency bounds."""
-    counts = tf.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("cf")
-    )
+def _document_counts(tf: DataFrame) -> DataFrame:
+    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _within_bounds(counts: DataFrame, docs: DataFrame, params: IndexParams) -> DataFrame:
     n_docs = docs.agg(F.count("*").alias("n"))
     return counts.where(
         (F.col("df") >= params.min_df) & (F.col("df") <= params.max_df * n_docs.scalar())
     )
 
 
+def doc_freq(docs: DataFrame, params: IndexParams) -> DataFrame:
+    """term, df, cf of all terms within the document-frequency bounds."""
+    return _within_bounds(_document_counts(term_freq(docs, params)), docs, params)
+
+
+def frequent_terms(docs: DataFrame, params: IndexParams) -> DataFrame:
+    """``doc_freq`` without word pairs that cannot enter the vocabulary.
+
+    A pair is no more frequent than either of its words. So once the
+    ``max_features``-th most frequent word is known, only pairs of words at
+    least as frequent can enter, and the long tail of pairs, most of all terms,
+    is dropped before it is shuffled. The words that stay are few; should they
+    not be, all pairs are counted.
+    """
+    words = doc_words(docs, params)
+    single = materialize(
+        _document_counts(with_counts(words, F.col("words"), "page_id")), "word-counts"
+    )
+    allowed = _within_bounds(single, docs, params)
+    double = with_counts(words, bigrams("words"), "page_id")
+    weakest = vocabulary(allowed, params).agg(F.count("*").alias("n"), F.min("cf").alias("cf")).first()
+    if weakest.n == params.max_features:
+        strong = single.where(F.col("cf") >= weakest.cf).select("term")
+        if strong.count() <= _BROADCAST_ROWS:
+            for position in (1, -1):
+                word = strong.select(F.col("term").alias("_w"))
+                here = F.substring_index("term", " ", position) == F.col("_w")
+                double = double.join(F.broadcast(word), here, "left_semi")
+    return allowed.unionByName(_within_bounds(_document_counts(double), docs, params))
+
+
 def vocabulary(frequencies: DataFrame, params: IndexParams) -> DataFrame:
     """The ``max_features`` most frequent terms, ties by term.
 
@@ -108,27 +146,28 @@ def weigh(tf: DataFrame, idf: DataFrame, params: IndexParams, row_id: str) -> Da
 @dataclass(frozen=True)
 class Index:
     """docs: page_id, url, title, content, domain. vocab: term, df, cf, idf.
-    postings: page_id, domain, term, tf, weight."""
+    postings: page_id, domain, term, tf, weight; ``stored`` when sorted by term on
+    disk."""
 
     docs: DataFrame
     vocab: DataFrame
     postings: DataFrame
     params: IndexParams
+    stored: bool = False
 
 
 def build_index(pages: DataFrame, params: IndexParams = IndexParams()) -> Index:
     """Index over page records (page_id, url, title, content, domain).
 
     The vocabulary is written to the shared folder: it is small, used on both
-    sides of a search, and cuts the two passes over the text apart. An empty
-    corpus gives an empty index, and so does a corpus of one document, where no
-    term can satisfy both frequency bounds.
+    sides of a search, and cuts the passes over the text apart. An empty corpus
+    gives an empty index, and so does a corpus of one document, where no term
+    can satisfy both frequency bounds.
     """
     docs = index_docs(pages)
-    counts = term_freq(docs, params, "domain")
-    frequencies = doc_freq(counts, docs, params)
-    vocab = materialize(with_idf(vocabulary(frequencies, params), docs), "vocabulary")
-    postings = weigh(counts, vocab, params, "page_id")
+    top = vocabulary(frequent_terms(docs, params), params)
+    vocab = materialize(with_idf(top, docs), "vocabulary")
+    postings = weigh(term_freq(docs, params, "domain"), vocab, params, "page_id")
     return Index(docs, vocab, postings.select("page_id", "domain", "term", "tf", "weight"), params)
 
 
@@ -144,7 +183,7 @@ def store_index(index: Index, path: str | None = None) -> Index:
         "term", "page_id"
     ).write.mode("overwrite").parquet(path)
     stored = spark.read.schema(index.postings.schema).parquet(path)
-    return Index(index.docs, index.vocab, stored, index.params)
+    return Index(index.docs, index.vocab, stored, index.params, stored=True)
 
 
 def index_summary(index: Index) -> DataFrame:

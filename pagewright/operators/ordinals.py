@@ -11,7 +11,8 @@ from pagewright.session import materialize
 def ordinal_in_group(df: DataFrame, group: str, order: str, name: str, width: int = 65_536) -> DataFrame:
     """Zero-based position of each row in its group, and the group size ``n``.
 
-    ``order`` must be a unique integer. Rows are numbered inside slices of
+    ``order`` must be a unique and fairly dense integer, such as a row id; sparse
+    ids would make a slice of every row. Rows are numbered inside slices of
     ``width`` consecutive order values, so a slice holds at most ``width`` rows
     however large its group is; running totals over the slice counts then
     shift the slices into place.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import snippet, strip, tokens, with_term_counts
+from pagewright.functions.text import snippet, strip, tokens, with_counts, words_and_pairs
 from pagewright.operators.index import Index, weigh
 from pagewright.params import SearchParams
 from pagewright.session import materialize
@@ -33,7 +33,7 @@ def query_vectors(queries: DataFrame, index: Index) -> DataFrame:
         "query_id", "key",
         tokens("query", index.params.stop_list()).alias("words"),
     )
-    counts = with_term_counts(words, "words", "query_id", "key")
+    counts = with_counts(words, words_and_pairs("words"), "query_id", "key")
     return weigh(counts, index.vocab, index.params, "query_id").select(
         "query_id", "key", "term", "tf", "weight"
     )
@@ -66,9 +66,14 @@ def cosine_scores(postings: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def keyword_hits(queries: DataFrame, index: Index, params: SearchParams) -> DataFrame:
-    """All hits of the non-blank queries above the threshold."""
-    scores = cosine_scores(index.postings, query_vectors(queries, index))
-    return scores.where(F.col("score") > params.threshold)
+    """All hits of the non-blank queries above the threshold.
+
+    The query vectors are written first: with their size known, Spark decides
+    before it touches the postings whether to broadcast them.
+    """
+    vectors = materialize(query_vectors(queries, index), "query-vectors")
+    postings = push_terms(index.postings, vectors) if index.stored else index.postings
+    return cosine_scores(postings, vectors).where(F.col("score") > params.threshold)
 
 
 def _docs_by_key(queries: DataFrame, docs: DataFrame) -> DataFrame:

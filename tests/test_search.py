@@ -79,10 +79,10 @@ def test_empty_and_single_document(spark):
 def test_vocabulary_cap_and_ties(spark):
     docs = spark.createDataFrame(PAGES, SCHEMA)
     for k in (1, 5, 20, 73, 500):
-        params = IndexParams(max_features=k)
-        freq = ix.doc_freq(ix.term_freq(docs, params), docs, params)
-        every = sorted(((-r.cf, r.term) for r in freq.collect()))
-        got = sorted(((-r.cf, r.term) for r in ix.vocabulary(freq, params).collect()))
+        params = IndexParams(max_features=k, prune_pairs_from=0)
+        every = sorted((-r.cf, r.term, r.df) for r in ix.doc_freq(docs, params).collect())
+        likely = ix.frequent_terms(docs, params)
+        got = sorted((-r.cf, r.term, r.df) for r in ix.vocabulary(likely, params).collect())
         assert got == every[:k]
 
 

@@ -51,7 +51,7 @@ def test_stop_words():
 def test_term_counts_and_pairs(spark):
     rows = [(1, ["a", "b", "a", "b"]), (2, ["x"]), (3, [])]
     df = spark.createDataFrame(rows, "id int, words array<string>")
-    got = {(r.id, r.term): r.tf for r in text.with_term_counts(df, "words", "id").collect()}
+    got = {(r.id, r.term): r.tf for r in text.with_counts(df, text.words_and_pairs("words"), "id").collect()}
     assert got == {(1, "a"): 2, (1, "b"): 2, (1, "a b"): 2, (1, "b a"): 1, (2, "x"): 1}
 
 
