@@ -57,16 +57,29 @@ def weighted_text(title: Column | str, content: Column | str) -> Column:
     return F.concat_ws(" ", _col(title), _col(title), _col(content))
 
 
-def tokens(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
-    """Lower-cased words of two or more word characters, without stop words.
+def tokens(text: Column | str) -> Column:
+    """Lower-cased words of two or more word characters, in order.
 
     Equal to tokenising ``clean_text(text)``: cleaning only changes characters
     that separate words, so it needs no pass of its own.
     """
-    words = F.split(F.lower(_col(text)), f"[^{WORD_CHARS}]+")
-    if not stop_words:
-        return F.filter(words, lambda w: F.length(w) > 1)
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(list(stop_words)))
+    return F.filter(_pieces(text), lambda w: F.length(w) > 1)
+
+
+def _pieces(text: Column | str) -> Column:
+    return F.split(F.lower(_col(text)), f"[^{WORD_CHARS}]+")
+
+
+def with_words(df: DataFrame, text: Column, stop_words: Sequence[str], *keep: str) -> DataFrame:
+    """``keep`` and ``words``: the tokens of ``text`` without stop words.
+
+    The list goes to Spark as one SQL expression, which is parsed far quicker
+    than one literal per word is built.
+    """
+    quoted = ["'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in stop_words]
+    kept = f" AND w NOT IN ({', '.join(quoted)})" if quoted else ""
+    words = F.expr(f"filter(_pieces, w -> length(w) > 1{kept})")
+    return df.select(*keep, _pieces(text).alias("_pieces")).select(*keep, words.alias("words"))
 
 
 def bigrams(words: Column | str) -> Column:

@@ -17,6 +17,7 @@ from pagewright.functions.text import (
     tokens,
     weighted_text,
     with_counts,
+    with_words,
     words_and_pairs,
 )
 from pagewright.functions.urls import fill_domain
@@ -36,8 +37,8 @@ def index_docs(pages: DataFrame) -> DataFrame:
 
 def doc_words(docs: DataFrame, params: IndexParams, *keep: str) -> DataFrame:
     """page_id and the array of words without stop words."""
-    words = tokens(weighted_text("title", "content"), params.stop_list())
-    return docs.select("page_id", *keep, words.alias("words"))
+    text = weighted_text("title", "content")
+    return with_words(docs, text, params.stop_list(), "page_id", *keep)
 
 
 def word_positions(docs: DataFrame) -> DataFrame:
@@ -86,6 +87,8 @@ def frequent_terms(docs: DataFrame, params: IndexParams) -> DataFrame:
     is dropped before it is shuffled. The words that stay are few; should they
     not be, all pairs are counted.
     """
+    if docs.count() < params.prune_pairs_from:
+        return doc_freq(docs, params)
     words = doc_words(docs, params)
     single = materialize(
         _document_counts(with_counts(words, F.col("words"), "page_id")), "word-counts"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import snippet, strip, tokens, with_counts, words_and_pairs
+from pagewright.functions.text import snippet, strip, with_counts, with_words, words_and_pairs
 from pagewright.operators.index import Index, weigh
 from pagewright.params import SearchParams
 from pagewright.session import materialize
@@ -29,10 +29,7 @@ def with_filter_key(queries: DataFrame) -> DataFrame:
 def query_vectors(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, key, term, tf, weight; unknown terms and stop words drop out."""
     asked = with_filter_key(queries).where(~F.col("blank"))
-    words = asked.select(
-        "query_id", "key",
-        tokens("query", index.params.stop_list()).alias("words"),
-    )
+    words = with_words(asked, F.col("query"), index.params.stop_list(), "query_id", "key")
     counts = with_counts(words, words_and_pairs("words"), "query_id", "key")
     return weigh(counts, index.vocab, index.params, "query_id").select(
         "query_id", "key", "term", "tf", "weight"
