@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import raw_text, to_batch
@@ -38,14 +38,15 @@ _cache: dict[bytes, dict[str, float]] = {}
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``positives``, ``negatives`` and ``landmarks`` bound the segments the machine is fitted on;
-    which segments tell toxic documents apart is counted over all labelled ones.
+    """``labelled`` bounds the labelled documents, ``positives``, ``negatives`` and ``landmarks`` bound the segments the machine is fitted on;
+    which segments tell toxic documents apart is counted over all these documents.
     A telling one stands in ``least_places`` different places of them, with log odds of ``least_odds``."""
 
     decay: float = 0.7
     window: int = 10
     step: int = 2
     landmarks: int = 192
+    labelled: int = 30_000
     positives: int = 3000
     negatives: int = 12000
     least_places: int = 5
@@ -240,6 +241,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield to_batch(dict(zip(schema.names, zip(*rows))) if rows else dict.fromkeys(schema.names, ()), schema)
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """Texts and labels of at most ``labelled`` rows of ``labels(doc_id, toxic)``, the first by a hash of their id."""
+    picked = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(params.labelled)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``labelled`` pairs of numbers
+
+
 def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Fit on ``labelled(text, toxic)``; rows without a label of 0 or 1 are ignored.
 
@@ -314,3 +322,20 @@ def score(docs: DataFrame, model: ToxicityModel, with_sentence: bool = False) ->
     found = rows.mapInArrow(_scorer(model, with_sentence), "doc_id long, best double, mean double" + ", sentence string" * with_sentence)
     value = 1 / (1 + F.exp(-(F.col("best") * model.slope[0] + F.col("mean") * model.slope[1] + model.offset)))
     return found.select("doc_id", value.alias("score"), *["sentence"] * with_sentence)
+
+
+def clean_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, unchanged."""
+    scorer = _scorer(model, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([t or "" for t in batch.column("text").to_pylist()], pa.string())
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), texts], ["doc_id", "text"])
+            parts = list(scorer([rows]))
+            if parts:
+                best, mean = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("best", "mean"))
+                value = 1 / (1 + np.exp(-(best * model.slope[0] + mean * model.slope[1] + model.offset)))
+                yield batch.filter(pa.array(value < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
