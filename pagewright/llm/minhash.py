@@ -5,9 +5,10 @@ by their signatures, confirmed on the full shingle sets, and joined into groups
 by alternating large-star and small-star.
 
 Documents with equal sets are one class, compared once. Candidates of a bucket
-are first compared with the bucket's hub; what those links join needs no more
-comparison. Only pairs between different groups of a bucket are compared after
-that, signature by signature, in blocks of bounded size.
+are first compared with the bucket's hubs; what those links join needs no more
+comparison. After that only pairs between different groups of a bucket are
+compared, in blocks of bounded size: by signature, then by set. A block returns
+a forest that spans its links, at most one link per row, never all pairs.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ class MinHashParams:
     bands: int = 25
     rows: int = 5
     slack: float = 5.0
+    hubs: int = 3
     block: int = 1024
     seed: int = 7
 
@@ -110,35 +112,94 @@ def _sketch(params: MinHashParams):
 
 
 def _sets(width: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("short", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column("text")]
-            yield to_batch({"id": batch.column("doc_id"), "shingles": found}, schema)
+            found = [shingle_set(t.as_py(), width) for t in batch.column("text")]
+            yield to_batch({
+                "id": batch.column("doc_id"), "shingles": [f.view(np.int64) for f in found],
+                "short": [f.astype(np.uint32).tobytes() for f in found]}, schema)
 
     return run
 
 
-def _alike(params: MinHashParams):
-    """Pairs of a bucket's rows, of different groups and with signatures alike enough."""
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
+    sets = a + b
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    twice = count[column] > 1
+    owner, column = owner[twice], np.unique(column[twice], return_inverse=True)[1]
+    out = np.zeros((len(a), len(b)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, width, 2048):
+        lo, hi = np.searchsorted(column, (start, start + 2048))
+        table = np.zeros((len(sets), min(2048, width - start)), np.float32)
+        table[owner[lo:hi], column[lo:hi] - start] = 1
+        out += table[:len(a)] @ table[len(a):].T
+    return out
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links join what those before them do not."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            keep[i] = True
+    return keep
+
+
+def _open_links(params: MinHashParams):
+    """Links between rows of a bucket that are of different groups.
+
+    Sets are compared by the low 32 bits of their hashes here; the links
+    returned are confirmed on the full hashes afterwards.
+    """
     least = params.least_equal()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_runs(batches, ["key", "block_a", "block_b"]):
             own, label, ids = rows["own"], rows["label"], rows["id"]
-            left = np.flatnonzero(own == rows["block_a"][0])
-            right = np.flatnonzero(own == rows["block_b"][0])
-            if not len(left) or not len(right):
+            names, of, n = np.unique(label, return_inverse=True, return_counts=True)
+            if len(names) < 2:
                 continue
             marks = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(ids), -1)
-            for start in range(0, len(left), 64):
-                part = left[start:start + 64]
-                equal = (marks[part][:, None, :] == marks[right][None, :, :]).sum(axis=2)
-                x, y = np.nonzero((equal >= least) & (label[part][:, None] != label[right][None, :]))
-                a, b = ids[part[x]], ids[right[y]]
-                if len(a):
-                    yield to_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)}, _PAIR)
+            across = rows["block_a"][0] != rows["block_b"][0]
+            # One end of a link between groups is outside the largest group.
+            few = np.flatnonzero(of != n.argmax())
+            for start in range(0, len(few), 64):
+                part = few[start:start + 64]
+                open_ = label[part][:, None] != label[None, :]
+                if across:
+                    open_ &= own[part][:, None] != own[None, :]
+                x, y = np.nonzero(open_)
+                like = np.zeros(len(x), np.int32)
+                for at in range(0, len(x), 65536):
+                    like[at:at + 65536] = (marks[part[x[at:at + 65536]]] == marks[y[at:at + 65536]]).sum(axis=1)
+                x, y = x[like >= least], y[like >= least]
+                if not len(x):
+                    continue
+                left, right = np.unique(x), np.unique(y)
+                sets = [[np.frombuffer(rows["short"][i], np.uint32) for i in side] for side in (part[left], right)]
+                both = _common(*sets)[np.searchsorted(left, x), np.searchsorted(right, y)]
+                size = np.array([len(s) // 4 for s in rows["short"]])
+                linked = both * 100 >= (size[part[x]] + size[y] - both) * params.percent
+                a, b = ids[part[x[linked]]], ids[y[linked]]
+                keep = _spanning(a, b)
+                if keep.any():
+                    yield to_batch({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}, _PAIR)
 
     return run
 
@@ -180,23 +241,27 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         "classes",
     )
     banded = classed.where("bands is not null").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    hubs = [F.min(F.struct(F.xxhash64("id", F.lit(k)), "id")).alias(f"hub{k}") for k in range(params.hubs)]
     buckets = (
-        banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id"), "id")).alias("hub"))
-        .where("n > 1").select("key", "n", F.col("hub.id").alias("hub"))
+        banded.groupBy("key").agg(F.count("*").alias("n"), *hubs).where("n > 1")
+        .select("key", "n", F.array_distinct(F.array(*(f"hub{k}.id" for k in range(params.hubs)))).alias("hubs"))
     )
     shared = materialize(banded.join(buckets, "key"), "buckets")
     sets = materialize(
         source.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
-        .mapInArrow(_sets(params.width), "id long, shingles array<long>"),
+        .mapInArrow(_sets(params.width), "id long, shingles array<long>, short binary"),
         "sets",
     )
-    spokes = shared.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    spokes = (
+        shared.select("id", F.explode("hubs").alias("hub")).where("id != hub")
+        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    )
     links = materialize(_confirmed(spokes, sets, params.percent), "hub-links")
     groups = connected_components(links)
 
     labelled = materialize(
-        shared.drop("hub").join(groups, F.col("id") == F.col("node"), "left")
+        shared.drop("hubs").join(groups, F.col("id") == F.col("node"), "left")
         .select("key", "n", "id", F.coalesce("component", "id").alias("label")),
         "labelled",
     )
@@ -204,10 +269,9 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     open_rows = labelled.join(mixed.select("key"), "key", "left_semi").join(
         classed.where("signature is not null").select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"]), "id")
     rest = (
-        block_pairs(open_rows, "n", F.col("id"), params.block)
+        block_pairs(open_rows.join(sets.select("id", "short"), "id"), "n", F.col("id"), params.block)
         .repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b")
-        .mapInArrow(_alike(params), "a long, b long").distinct()
-        .join(spokes, ["a", "b"], "left_anti")
+        .mapInArrow(_open_links(params), "a long, b long").distinct()
     )
     more = materialize(_confirmed(rest, sets, params.percent), "links")
     final = connected_components(links.union(more)).withColumnRenamed("node", "class")
