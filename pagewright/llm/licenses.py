@@ -44,7 +44,7 @@ class LicenseParams:
     """``rarest``: words of a text that are looked up; ``least``: share of a notice's IDF that must stand."""
 
     rarest: int = 4
-    least: float = 0.75
+    least: float = 0.6
 
 
 def _vocabulary() -> dict[str, int]:

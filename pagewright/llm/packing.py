@@ -138,9 +138,10 @@ def combine(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         while n:
             gap = min((g for g in rest if g >= length), default=None)
             if gap is None:
-                rest.setdefault(capacity - length, []).append(((length,), n))
-                n = 0
-                continue
+                for each, times in ((capacity // length, n // (capacity // length)), (n % (capacity // length), 1)):
+                    if each and times:
+                        rest.setdefault(capacity - each * length, []).append(((length,) * each, times))
+                break
             parts, times = rest[gap].pop()
             if not rest[gap]:
                 del rest[gap]
