@@ -272,17 +272,6 @@ def score_percent(spark, sf):
     )
 
 
-@query
-def table_size_mb(spark, sf):
-    parts = [
-        tables.table_size(spark, f"{sf}/{name}.parquet").select(
-            F.lit(name).alias("table"), formats.size_mb("size_bytes").alias("size")
-        )
-        for name in ("pages", "documents", "events")
-    ]
-    return V.union(*parts)
-
-
 @query
 def display_domain(spark, sf):
     return V.table(spark, sf, "pages").select(
@@ -330,7 +319,7 @@ def vocabulary(spark, sf):
 @query
 def vocabulary_pruned(spark, sf):
     """The same vocabulary, dropping hopeless word pairs before the shuffle."""
-    params = IndexParams(prune_pairs_from=0)
+    params = IndexParams()
     return ix.vocabulary(ix.frequent_terms(V.docs(spark, sf), params), params)
 
 
@@ -498,7 +487,7 @@ def _dfs(spark, sf, params):
 
 @query
 def dfs_crawl(spark, sf):
-    return _dfs(spark, sf, V.SMALL_CRAWL)
+    return _dfs(spark, sf, V.FULL_CRAWL)
 
 
 @query
@@ -533,7 +522,7 @@ REGISTRY["crawl"] = REGISTRY.pop("crawl_job")
 
 @query
 def coverage_compare(spark, sf):
-    return traverse.coverage(_bfs_crawl(spark, sf, V.SMALL_CRAWL), _dfs(spark, sf, V.SMALL_CRAWL))
+    return traverse.coverage(_bfs_crawl(spark, sf), _dfs(spark, sf, V.FULL_CRAWL))
 
 
 @query

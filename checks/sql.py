@@ -59,7 +59,9 @@ def _snippet(expr: str) -> str:
 
 
 def _one_decimal(expr: str) -> str:
-    return f"printf('%.1f', floor({expr} * 10 + 0.5) / 10)"
+    # printf rounds the exact value, but halves to even; exact halves are odd quarters.
+    half = f"(({expr}) * 4 = floor(({expr}) * 4) AND floor(({expr}) * 4)::BIGINT % 2 = 1)"
+    return f"printf('%.1f', CASE WHEN {half} THEN ({expr}) + 0.001 ELSE ({expr}) END)"
 
 
 _ISO = (
@@ -268,7 +270,7 @@ CTES: dict[str, str] = {
                CASE WHEN known THEN seen ELSE list_append(seen, top.url) END,
                top.url, top.depth, top.parent, NOT known
         FROM (SELECT *, stack[1] AS top, list_contains(seen, stack[1].url) AS known
-              FROM dfs_walk WHERE len(stack) > 0 AND len(seen) < 100) d
+              FROM dfs_walk WHERE len(stack) > 0) d
         LEFT JOIN adjacent a ON a.url = d.top.url""",
     "dfs_reached": """
         SELECT url, depth, parent_url, row_number() OVER (ORDER BY step) AS crawl_order
@@ -412,7 +414,7 @@ FINAL: dict[str, str] = {
         SELECT count(b.url) FILTER (d.url IS NOT NULL) AS both,
                count(b.url) FILTER (d.url IS NULL) AS bfs_only,
                count(d.url) FILTER (b.url IS NULL) AS dfs_only
-        FROM (SELECT url FROM reached WHERE crawl_order <= 100) b
+        FROM (SELECT url FROM reached) b
         FULL JOIN dfs_reached d ON b.url = d.url""",
     "dfs_tree_order": "SELECT url, depth, row_number() OVER (ORDER BY path) AS visit FROM reached",
     "crawl_status": f"""

@@ -19,8 +19,20 @@ def iso_time(ts: Column | str) -> Column:
 
 
 def one_decimal(value: Column | str) -> Column:
-    """One decimal, halves rounded up."""
-    return F.format_string("%.1f", F.floor(_col(value) * 10 + 0.5) / 10)
+    """One decimal of the exact binary value, exact halves rounded up.
+
+    Twenty times the value is an odd number at a half; the error of that product,
+    found by splitting the value in two short parts, tells a half from a number
+    just below it.
+    """
+    x = _col(value).cast("double")
+    twenty = x * 20
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    error = (high * 20 - twenty) + (x - high) * 20
+    below = (F.pmod(twenty, F.lit(2.0)) == 1) & (error < 0)
+    tenths = F.floor((twenty + 1) / 2) - below.cast("int")
+    return F.format_string("%.1f", tenths / 10)
 
 
 def score_percent(score: Column | str) -> Column:

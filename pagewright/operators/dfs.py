@@ -1,10 +1,9 @@
 """Depth-first traversal of a page corpus.
 
 Which pages a depth-capped depth-first crawl reaches depends on each decision
-before it, so one crawl cannot be split up. What can be bounded is its size: a
-crawl with a page budget visits at most that many pages, and of each page's
-children at most that many matter. The job therefore never ships a site to a
-task. It loads the links of pages as the walk asks for them: each round runs the
+before it, so one crawl cannot be split up: a site is one walk, in one task, and
+so is a crawl whose links leave their sites. Use breadth-first crawls at scale.
+The job does not ship whole sites. It loads the links of pages as the walk asks for them: each round runs the
 walk over what is loaded, treats pages not loaded yet as having no links, and
 fetches the links of those with one distributed join. The walk is final when it
 asks for nothing. Sites are walked in parallel.
@@ -12,12 +11,14 @@ asks for nothing. Sites are walked in parallel.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.urls import extract_domain, in_allowed_domains, is_web_url
-from pagewright.operators.ordinals import number_top
+from pagewright.operators.traverse import cut_to_budget
 from pagewright.params import CrawlParams
 from pagewright.session import materialize
 
@@ -73,8 +74,6 @@ def crawl_dfs(
     that hosts can be walked side by side; otherwise the crawl is one walk.
     """
     budget = params.max_pages
-    if budget is None:
-        raise ValueError("a depth-first crawl needs max_pages")
     known = corpus.select("url")
     site = extract_domain("url") if links_stay_in_site else F.lit("")
     valid = is_web_url("url") & in_allowed_domains("url", params.allowed_domains)
@@ -83,8 +82,6 @@ def crawl_dfs(
         .join(known, "url", "left_semi")
         .groupBy("url")
         .agg(F.min("ord").cast("long").alias("ord"))
-        .orderBy("ord")
-        .limit(budget)
     )
     starts = materialize(starts.select(site.alias("site"), "url", "ord"), "dfs-seeds")
     allowed = is_web_url("link") & in_allowed_domains("link", params.allowed_domains)
@@ -102,28 +99,29 @@ def crawl_dfs(
             )
         walked = materialize(
             state.groupBy("site").applyInPandas(
-                _walk_sites(budget, params.max_depth), _WALK_SCHEMA
+                _walk_sites(math.inf if budget is None else budget, params.max_depth), _WALK_SCHEMA
             ),
             f"dfs-walk-{round_no}",
         )
         asked = walked.where("asks").select("site", "url")
         if asked.isEmpty():
             break
-        more = materialize(_children(asked, out, known, budget), f"dfs-links-{round_no}")
+        more = materialize(_children(asked, out, known), f"dfs-links-{round_no}")
         loaded = more if loaded is None else loaded.unionByName(more)
         round_no += 1
-    numbered = number_top(walked, [F.col("ord"), F.col("step")], budget, "crawl_order")
+    numbered = cut_to_budget(walked, [F.col("ord"), F.col("step")], budget)
     return numbered.select("url", "depth", "parent_url", "crawl_order")
 
 
-def _children(asked: DataFrame, links: DataFrame, known: DataFrame, budget: int) -> DataFrame:
-    """site, url and the first ``budget`` corpus links of each asked page."""
+def _children(asked: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+    """site, url and the corpus links of each asked page, each where it stands first."""
     targets = known.select(F.col("url").alias("link"))
     found = asked.join(links, "url").join(targets, "link", "left_semi")
-    lists = found.groupBy("site", "url").agg(
+    first = found.groupBy("site", "url", "link").agg(F.min("pos").alias("pos"))
+    lists = first.groupBy("site", "url").agg(
         F.sort_array(F.collect_list(F.struct("pos", "link"))).alias("_l")
     )
-    cut = lists.select("site", "url", F.slice("_l.link", 1, budget).alias("_c"))
+    cut = lists.select("site", "url", F.col("_l.link").alias("_c"))
     none = F.array().cast("array<string>")
     return asked.join(cut, ["site", "url"], "left").select(
         "site", "url", F.coalesce("_c", none).alias("children")

@@ -25,7 +25,6 @@ from pagewright.params import IndexParams
 from pagewright.session import materialize, work_path
 
 # Terms up to this many rows are joined by broadcast.
-_BROADCAST_ROWS = 200_000
 
 
 def index_docs(pages: DataFrame) -> DataFrame:
@@ -84,11 +83,8 @@ def frequent_terms(docs: DataFrame, params: IndexParams) -> DataFrame:
     A pair is no more frequent than either of its words. So once the
     ``max_features``-th most frequent word is known, only pairs of words at
     least as frequent can enter, and the long tail of pairs, most of all terms,
-    is dropped before it is shuffled. The words that stay are few; should they
-    not be, all pairs are counted.
+    is dropped before it is counted. With fewer words than that, none is.
     """
-    if docs.count() < params.prune_pairs_from:
-        return doc_freq(docs, params)
     words = doc_words(docs, params)
     single = materialize(
         _document_counts(with_counts(words, F.col("words"), "page_id")), "word-counts"
@@ -98,11 +94,10 @@ def frequent_terms(docs: DataFrame, params: IndexParams) -> DataFrame:
     weakest = vocabulary(allowed, params).agg(F.count("*").alias("n"), F.min("cf").alias("cf")).first()
     if weakest.n == params.max_features:
         strong = single.where(F.col("cf") >= weakest.cf).select("term")
-        if strong.count() <= _BROADCAST_ROWS:
-            for position in (1, -1):
-                word = strong.select(F.col("term").alias("_w"))
-                here = F.substring_index("term", " ", position) == F.col("_w")
-                double = double.join(F.broadcast(word), here, "left_semi")
+        for position in (1, -1):
+            word = strong.select(F.col("term").alias("_w"))
+            here = F.substring_index("term", " ", position) == F.col("_w")
+            double = double.join(word, here, "left_semi")
     return allowed.unionByName(_within_bounds(_document_counts(double), docs, params))
 
 
@@ -130,17 +125,12 @@ def with_idf(vocab: DataFrame, docs: DataFrame) -> DataFrame:
     return vocab.withColumn("idf", F.log((1 + n_docs.scalar()) / (1 + F.col("df"))) + 1)
 
 
-def small(vocab: DataFrame, params: IndexParams) -> DataFrame:
-    """Broadcast hint for a vocabulary whose size the parameters bound."""
-    return F.broadcast(vocab) if params.max_features <= _BROADCAST_ROWS else vocab
-
-
 def weigh(tf: DataFrame, idf: DataFrame, params: IndexParams, row_id: str) -> DataFrame:
     """Term counts to L2-normalised TF-IDF weights, one unit vector per row.
 
     The window holds the terms of one page or query at a time.
     """
-    raw = tf.join(small(idf.select("term", "idf"), params), "term")
+    raw = tf.join(idf.select("term", "idf"), "term")
     raw = raw.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row_id)))
     return raw.withColumn("weight", F.col("_w") / norm).drop("_w", "idf")

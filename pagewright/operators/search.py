@@ -15,8 +15,6 @@ from pagewright.operators.index import Index, weigh
 from pagewright.params import SearchParams
 from pagewright.session import materialize
 
-# Up to this many distinct query terms become a filter the scan can use.
-_PUSHED_TERMS = 1_000
 _SALTS = 64
 
 
@@ -36,18 +34,6 @@ def query_vectors(queries: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def push_terms(postings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Filter stored postings by the query terms when these are few.
-
-    Files sorted by term then skip all row groups without them. The driver sees
-    at most the bounded number of terms.
-    """
-    terms = vectors.select("term").distinct().limit(_PUSHED_TERMS + 1).collect()
-    if len(terms) > _PUSHED_TERMS:
-        return postings
-    return postings.where(F.col("term").isin([t.term for t in terms]))
-
-
 def cosine_scores(postings: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, page_id, score of every pair that shares a term.
 
@@ -69,8 +55,7 @@ def keyword_hits(queries: DataFrame, index: Index, params: SearchParams) -> Data
     before it touches the postings whether to broadcast them.
     """
     vectors = materialize(query_vectors(queries, index), "query-vectors")
-    postings = push_terms(index.postings, vectors) if index.stored else index.postings
-    return cosine_scores(postings, vectors).where(F.col("score") > params.threshold)
+    return cosine_scores(index.postings, vectors).where(F.col("score") > params.threshold)
 
 
 def _docs_by_key(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -97,17 +82,12 @@ def blank_hits(queries: DataFrame, docs: DataFrame, limit: int | None) -> DataFr
 def top_rows(df: DataFrame, group: str, order: list[Column], limit: int, name: str) -> DataFrame:
     """The first ``limit`` rows of each group, numbered from one.
 
-    Spark keeps the first rows of a group per task before it shuffles, up to a
-    configured limit; beyond that the group is cut in salted parts first. No
-    task ever holds a whole group.
+    The group is cut in salted parts first, so no task holds a whole group.
     """
-    spark = df.sparkSession
-    native = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if limit > native:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
-        part = Window.partitionBy(group, "_salt").orderBy(*order)
-        salted = salted.withColumn("_part", F.row_number().over(part))
-        df = salted.where(F.col("_part") <= limit).drop("_salt", "_part")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
+    part = Window.partitionBy(group, "_salt").orderBy(*order)
+    salted = salted.withColumn("_part", F.row_number().over(part))
+    df = salted.where(F.col("_part") <= limit).drop("_salt", "_part")
     numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return numbered.where(F.col(name) <= limit)
 

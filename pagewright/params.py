@@ -35,7 +35,7 @@ class _FromMapping:
 class CrawlParams(_FromMapping):
     """How far a traversal goes and which sites it may enter."""
 
-    max_pages: int | None = 100
+    max_pages: int | None = None
     max_depth: int = 3
     algorithm: str = "BFS"
     allowed_domains: tuple[str, ...] = ()
@@ -43,18 +43,12 @@ class CrawlParams(_FromMapping):
 
 @dataclass(frozen=True)
 class IndexParams(_FromMapping):
-    """Vocabulary rules of the TF-IDF index.
-
-    From ``prune_pairs_from`` documents on, word pairs that cannot enter the
-    vocabulary are dropped before they are shuffled. That takes a pass over the
-    text of its own, which small corpora do better without; results are equal.
-    """
+    """Vocabulary rules of the TF-IDF index."""
 
     max_features: int = 10_000
     min_df: int = 1
     max_df: float = 0.95
     stop_words: tuple[str, ...] | None = None
-    prune_pairs_from: int = 1_000_000
 
     def stop_list(self) -> list[str]:
         return list(default_stop_words() if self.stop_words is None else self.stop_words)

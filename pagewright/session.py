@@ -50,16 +50,6 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pagewright/{uuid.uuid4().hex}/{label}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the cluster has cores.
-
-    A table of one small file would otherwise be one task. Large tables have
-    many splits and stay as they are, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -90,7 +90,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     numbers = _snapshots(spark, path)
     if not numbers:
         raise FileNotFoundError(f"no finished snapshot under {path}")
-    return spark.read.option("mergeSchema", "true").parquet(f"{path}/snapshot={numbers[-1]}")
+    return spark.read.parquet(f"{path}/snapshot={numbers[-1]}")
 
 
 def table_size(spark: SparkSession, path: str) -> DataFrame:

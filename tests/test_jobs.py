@@ -16,9 +16,9 @@ def at(text):
 def test_serve_keeps_cache_and_history(spark, tmp_path):
     root = str(tmp_path / "state")
     index = build_index(spark.createDataFrame(PAGES, SCHEMA))
-    asked = spark.createDataFrame([(1, "python", None), (2, "zzz", None), (3, "", "other.org")], QUERIES)
+    asked = spark.createDataFrame([(1, "kayak", None), (2, "zzz", None), (3, "", "charts.example")], QUERIES)
     found, summary = serve.serve(asked, index, root, at("2024-01-01 00:00:00"), SearchParams(limit=1))
-    assert {(r.query_id, r.url[-5:]) for r in found.collect()} == {(1, "page1"), (3, "page3")}
+    assert {(r.query_id, r.url[-5:]) for r in found.collect()} == {(1, "addle"), (3, "/maps")}
     assert {(r.query_id, r.total_found, r.cached) for r in summary.collect()} == {
         (1, 2, False), (2, 0, False), (3, 1, False)
     }

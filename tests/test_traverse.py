@@ -14,19 +14,19 @@ from pagewright.plans.crawl import crawl, store_crawl
 ROOT = "https://example.com"
 SITES = {
     "tree": (
-        {"": ["page1", "page2"], "page1": ["page1/sub1", "page1/sub2"], "page2": ["page2/sub1"],
-         "page1/sub1": [], "page1/sub2": [], "page2/sub1": []},
-        ["", "page1", "page2", "page1/sub1", "page1/sub2", "page2/sub1"],
-        ["", "page1", "page1/sub1", "page1/sub2", "page2", "page2/sub1"],
+        {"": ["crete", "malta"], "crete": ["crete/ports", "crete/towns"], "malta": ["malta/ports"],
+         "crete/ports": [], "crete/towns": [], "malta/ports": []},
+        ["", "crete", "malta", "crete/ports", "crete/towns", "malta/ports"],
+        ["", "crete", "crete/ports", "crete/towns", "malta", "malta/ports"],
     ),
     "levels": (
-        {"": ["level1-a", "level1-b"], "level1-a": ["level2-a"], "level1-b": ["level2-b"],
-         "level2-a": [], "level2-b": []},
-        ["", "level1-a", "level1-b", "level2-a", "level2-b"],
-        ["", "level1-a", "level2-a", "level1-b", "level2-b"],
+        {"": ["north", "south"], "north": ["fjord"], "south": ["dunes"],
+         "fjord": [], "dunes": []},
+        ["", "north", "south", "fjord", "dunes"],
+        ["", "north", "fjord", "south", "dunes"],
     ),
-    "star": ({"": ["page1", "page2"], "page1": [], "page2": []}, ["", "page1", "page2"], ["", "page1", "page2"]),
-    "chain": ({"": ["page1"], "page1": []}, ["", "page1"], ["", "page1"]),
+    "star": ({"": ["crete", "malta"], "crete": [], "malta": []}, ["", "crete", "malta"], ["", "crete", "malta"]),
+    "chain": ({"": ["crete"], "crete": []}, ["", "crete"], ["", "crete"]),
 }
 
 
@@ -135,8 +135,13 @@ def test_unbounded_crawl_is_numbered(spark):
     got = traverse.crawl_bfs(*parts, CrawlParams(max_pages=None, max_depth=9))
     assert [r[0] for r in rows(got)] == [f"http://a.x/{i}" for i in range(31)]
     assert sorted(r.crawl_order for r in got.collect()) == list(range(1, 32))
-    with pytest.raises(ValueError):
-        crawl_dfs(*parts, CrawlParams(max_pages=None))
+    assert crawl_dfs(*parts, CrawlParams(max_depth=9)).count() == 31
+
+
+def test_repeated_links_take_no_budget(spark):
+    parts = frames(spark, ["http://a.x/"], {"http://a.x/": ["http://a.x/a"] * 3 + ["http://a.x/b"], "http://a.x/a": [], "http://a.x/b": []})
+    for walk in (traverse.crawl_bfs, crawl_dfs):
+        assert [r[0] for r in rows(walk(*parts, CrawlParams(max_pages=3)))] == ["http://a.x/", "http://a.x/a", "http://a.x/b"]
 
 
 def test_routes(spark):
