@@ -36,12 +36,12 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 @dataclass(frozen=True)
 class MinHashParams:
-    """``percent``: least similarity. A pair at 85 % shares no band of ``bands`` x ``rows``
-    minima in 4 of 10 million cases. ``slack``: standard errors by which a signature's
-    estimate may fall short before a pair is dropped unconfirmed."""
+    """``percent``: least similarity. A pair at 80 % shares no band of ``bands`` x ``rows``
+    minima in 5 of 100,000 cases, at 85 % in 4 of 10 million. ``slack``: standard errors by
+    which a signature's estimate may fall short before a pair is dropped unconfirmed."""
 
     width: int = 5
-    percent: int = 85
+    percent: int = 80
     bands: int = 25
     rows: int = 5
     slack: float = 5.0

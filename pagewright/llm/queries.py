@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.llm import brown, language, toxicity
 from pagewright.llm.common import fold, read
 from pagewright.llm.licenses import scan_licenses
-from pagewright.llm.minhash import near_duplicates
+from pagewright.llm.minhash import MinHashParams, near_duplicates
 from pagewright.llm.mixing import mix
 from pagewright.llm.packing import pack
 from pagewright.llm.quality import judge
@@ -62,7 +62,7 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), MinHashParams(percent=85))
 
 
 REGISTRY = {f.__name__: f for f in (
