@@ -88,8 +88,7 @@ def _visits(spark, sf):
 @query
 def upsert_pages(spark, sf):
     stored = _stored_pages(spark, sf)
-    after = tables.upsert_pages(stored, _visits(spark, sf), "seq", V.ntz(NOW))
-    return after.drop("page_id")
+    return tables.upsert_pages(stored, _visits(spark, sf), "seq", V.ntz(NOW))
 
 
 @query
@@ -514,7 +513,7 @@ def crawl_job(spark, sf):
     path = work_path(spark, "page-table")
     for params, now in ((V.FULL_CRAWL, NOW), (V.SMALL_CRAWL, "2024-06-02 00:00:00")):
         stored = store_crawl(crawl(start, pages, params, found), path, V.ntz(now))
-    return stored.select(*[c for c in PAGE_COLUMNS if c != "page_id"])
+    return stored.select(*PAGE_COLUMNS)
 
 
 REGISTRY["crawl"] = REGISTRY.pop("crawl_job")

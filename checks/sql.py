@@ -323,11 +323,11 @@ FINAL: dict[str, str] = {
     "upsert_pages": f"""
         WITH stored AS ({_STORED_PAGES}),
              last AS (SELECT * FROM visits QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1)
-        SELECT url, 'stored' AS title, '' AS content, domain, crawl_time, 0 AS depth, NULL AS parent_url,
+        SELECT page_id, url, 'stored' AS title, '' AS content, domain, crawl_time, 0 AS depth, NULL AS parent_url,
                200 AS status_code, crawl_time AS created_at, crawl_time AS updated_at
         FROM stored WHERE url NOT IN (SELECT url FROM last)
         UNION ALL
-        SELECT l.url, 'visit ' || l.seq, 'seen', {_domain('l.url')}, l.crawl_time, 1, l.parent_url, 200,
+        SELECT l.page_id, l.url, 'visit ' || l.seq, 'seen', {_domain('l.url')}, l.crawl_time, 1, l.parent_url, 200,
                coalesce(s.crawl_time, {_NOW}), {_NOW}
         FROM last l LEFT JOIN stored s USING (url)""",
     "page_links": "SELECT DISTINCT f AS from_page_id, t AS to_page_id FROM edges",
@@ -429,7 +429,7 @@ FINAL: dict[str, str] = {
             (epoch_us(TIMESTAMP '2024-01-01 03:00:00') - epoch_us(start_time)) / pages_crawled * total_pages) AS BIGINT))
           END AS estimated_completion FROM crawls""",
     "crawl": f"""
-        SELECT url, title, content, domain, crawl_time, depth, parent_url, 200 AS status_code,
+        SELECT page_id, url, title, content, domain, crawl_time, depth, parent_url, 200 AS status_code,
                {_NOW} AS created_at,
                CASE WHEN crawl_order <= 100 THEN TIMESTAMP '2024-06-02 00:00:00' ELSE {_NOW} END AS updated_at
         FROM records""",

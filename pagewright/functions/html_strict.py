@@ -14,13 +14,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.functions.html import BOILERPLATE_TAGS, HIDDEN_TAGS, RAW_TAGS
+from pagewright.functions.html import BOILERPLATE_TAGS, HIDDEN_TAGS, RAW_TAGS, VOID_TAGS
 
-# Elements that never have content.
-_VOID = frozenset(
-    "area base basefont bgsound br col command embed frame hr image img input isindex "
-    "keygen link menuitem meta nextid param source spacer track wbr".split()
-)
+_VOID = frozenset(VOID_TAGS)
 _DROPPED = frozenset(RAW_TAGS + BOILERPLATE_TAGS + HIDDEN_TAGS)
 
 

@@ -45,9 +45,12 @@ def extract_text(pages: DataFrame, parser: str = "auto", links: bool = True) ->
     }
     if links:
         native["hrefs"] = H.anchor_hrefs("markup")
-    marked = with_markup(pages)
     if parser == "native":
-        return marked.select(*keep, *[c.alias(n) for n, c in native.items()])
+        return with_markup(pages).select(*keep, *[c.alias(n) for n, c in native.items()])
+    marked = (
+        pages.withColumn("markup", F.when(H.raw_is_closed(F.coalesce("html", F.lit(""))), H.strip_raw(F.coalesce("html", F.lit("")))))
+        .withColumn("body", F.when(H.boilerplate_is_closed("markup"), H.strip_boilerplate("markup")))
+    )
     plain = H.is_plain_html(F.col("markup"), F.col("body"))
     columns = {n: F.when(F.col("_plain"), c) for n, c in native.items()}
     ready = marked.withColumn("_plain", plain).select(

@@ -31,22 +31,25 @@ def backfill_domain(pages: DataFrame) -> DataFrame:
 def upsert_pages(base: DataFrame, batch: DataFrame, seq: str, now: Column) -> DataFrame:
     """The table after a batch of crawl results, one row per url.
 
-    The result with the highest ``seq`` wins. A page keeps its id and creation
-    time; a new url gets a hash of it as id. Winners are found with a maximum,
-    which combines on the map side. Untouched rows only pass an anti-join
-    against the batch's urls, which Spark broadcasts when the batch is small.
+    The result with the highest ``seq`` wins, and of equal ones the one with the
+    largest values. A stored page keeps its id and creation time; a new url has
+    the batch's ``page_id``, or a hash of the url where the batch has none.
+    Winners are found with a maximum, which combines on the map side. Untouched
+    rows only pass an anti-join against the batch's urls, which Spark broadcasts
+    when the batch is small.
     """
     fresh = [c for c in base.columns if c not in ("page_id", "url", "domain", "created_at", "updated_at")]
-    last = batch.groupBy("url").agg(F.max_by(F.struct(*fresh), seq).alias("_new"))
-    old = base.select("url", "page_id", "created_at", F.lit(True).alias("_known"))
+    given = F.col("page_id").cast("long") if "page_id" in batch.columns else F.lit(None).cast("long")
+    last = batch.groupBy("url").agg(F.max(F.struct(F.col(seq).alias("_seq"), *fresh, given.alias("_id"))).alias("_new"))
+    old = base.select("url", "page_id", "created_at")
     known = old.join(last.select("url"), "url", "left_semi")
     merged = last.join(known, "url", "left").select(
-        F.coalesce("page_id", F.xxhash64("url")).alias("page_id"),
+        F.coalesce("page_id", "_new._id", F.xxhash64("url")).alias("page_id"),
         "url",
         extract_domain("url").alias("domain"),
         F.coalesce("created_at", now).alias("created_at"),
         now.alias("updated_at"),
-        "_new.*",
+        *(F.col("_new").getField(c).alias(c) for c in fresh),
     )
     untouched = base.join(last.select("url"), "url", "left_anti")
     return untouched.unionByName(merged.select(base.columns))

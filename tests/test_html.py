@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from checks import views as V
@@ -19,6 +22,14 @@ ODD = {
     "bare href": "<a href>self</a><a data-href='/no'>n</a>",
     "custom": "<header-like>kept</header-like><header>gone</header>",
     "upper": "<TITLE>Up &amp; Down</TITLE><NAV>n</NAV><A HREF='/Z'>z</A>",
+    "closed from outside": "<ul><li><nav>m</li></ul>body text</nav>",
+    "closed by div": "<div><nav></div>inside</nav><p>end</p>",
+    "reopened": "<ol><li><aside>a</li>b<li>c</aside>d</li></ol>e",
+    "self-closing": "<nav/>text<nav>gone</nav>after",
+    "open inside": "<nav><ul><li>a<li>b<br></ul></nav>kept",
+    "slash": "<a/href='/x'>l</a><a class='k'/href='/y'>m</a>",
+    "glued": "<a href='/x'href='/y'>l</a><a id=\"i\"href=\"/z\">m</a>",
+    "odd values": "<a href==/x>l</a><a href=>m</a><a href=a\"b>n</a>",
     "null": None,
 }
 FERRY = """<html><head><title>Ferry times</title><style>p { margin: 0 }</style></head>
@@ -48,6 +59,26 @@ def test_auto_reads_odd_pages_like_the_parser(spark):
     assert records(df, "auto") == records(df, "strict")
 
 
+def test_auto_reads_malformed_pages_like_the_parser(spark):
+    rng = random.Random(5)
+    parts = ["<nav>", "</nav>", "<header id=h>", "</header>", "<div>", "</div>", "<ul><li>", "</li></ul>", "<p>", "</p>",
+             "<a href='/a'>", "<a/href='/b'>", "<a href='/c'href='/d'>", "</a>", "<script>", "</script>", "<title>", "</title>",
+             "<!--", "-->", "<br>", "<aside/>", " one ", "two", "\n", "&amp;"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 12))) for _ in range(1500)]
+    df = pages(spark, made)
+    auto, strict = records(df, "auto"), records(df, "strict")
+    assert [m for m, a, s in zip(made, auto, strict) if a != s] == []
+
+
+def test_unclosed_scripts_take_linear_time(spark):
+    df = pages(spark, ["<p>seen</p>" + "<script>x" * 110_000, "<nav>x" * 170_000 + "<p>y"]).cache()
+    assert df.count() == 2
+    records(pages(spark, ["<script>"]), "auto")
+    start = time.monotonic()
+    assert [r[1] for r in records(df, "auto")] == ["seen", ""]
+    assert time.monotonic() - start < 20
+
+
 def test_failure_defaults(spark):
     df = pages(spark, [None, "", "<p>x</p>"])
     assert records(df, "auto") == [("No Title", "", []), ("No Title", "", []), ("No Title", "x", [])]

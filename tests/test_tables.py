@@ -53,6 +53,16 @@ def test_upsert_keeps_ids_and_is_idempotent(spark):
     assert got["http://b.x/"].domain == "b.x" and got["http://b.x/"].created_at.month == 2
     hashed = spark.range(1).select(F.xxhash64(F.lit("http://b.x/"))).first()[0]
     assert got["http://b.x/"].page_id == hashed
+    numbered = {r.url: r.page_id for r in tables.upsert_pages(base, new.withColumn("page_id", F.lit(7)), "seq", now).collect()}
+    assert numbered == {"http://a.x/0": got["http://a.x/0"].page_id, "http://a.x/1": 1, "http://b.x/": 7}
+
+
+def test_equal_times_have_one_winner(spark):
+    rows = [("http://b.x/", "p", None, 1), ("http://b.x/", "q", "http://a.x/", 1)]
+    now = at("2024-02-02 00:00:00")
+    for order in (rows, rows[::-1]):
+        got = tables.upsert_pages(stored(spark, "http://a.x/0"), batch(spark, *order), "seq", now)
+        assert [r.title for r in got.where("url = 'http://b.x/'").collect()] == ["q"]
 
 
 def test_page_links_need_the_parent(spark):
