@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import toxicity
 from pagewright.llm.common import fold, read
-from pagewright.llm.minhash import near_duplicates
+from pagewright.llm.minhash import MinHashParams, near_duplicates
 from pagewright.llm.mixing import mixed_documents
 from pagewright.llm.packing import pack
 from pagewright.llm.spans import remove_repeats
@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    copies = near_duplicates(docs, MinHashParams(percent=80)).where("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ class MinHashParams:
     which a signature's estimate may fall short before a pair is dropped unconfirmed."""
 
     width: int = 5
-    percent: int = 80
+    percent: int = 85
     bands: int = 25
     rows: int = 5
     slack: float = 5.0

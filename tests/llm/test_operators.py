@@ -90,6 +90,18 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_duplicates_from_80_percent(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:88], *(f"x{i}" for i in range(4))]), " ".join([*words[:80], *(f"y{i}" for i in range(30))])]
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(3) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert near == [(1, 0)] and 100 * len(sets[0] & sets[1]) < 85 * len(sets[0] | sets[1])
+    docs = docs_of(spark, list(enumerate(texts)))
+    for percent, expected in ((80, {0: 0, 1: 0, 2: 2}), (85, {0: 0, 1: 1, 2: 2})):
+        got = near_duplicates(docs, MinHashParams(percent=percent)).collect()
+        assert {r.doc_id: r.component_id for r in got} == expected
+
+
 def test_vectors_are_those_of_all_pairs(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((6, 32))
