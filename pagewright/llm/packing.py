@@ -15,81 +15,132 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from pagewright.llm.common import raw_text, to_batch
 from pagewright.session import materialize
 
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 250_000
+_JOINED_WORDS = 200
+_MARK = "~"
+_SLICE_BYTES = 4 << 20
 _SLICES = 1024
 _encoders: dict[str, "_Encoder"] = {}
 
 
-class _Encoder(dict):
+class _Encoder:
     """Ids of white-space separated words as little-endian bytes, kept between batches.
 
     The tokenizer splits at white space and lower-cases, so the ids of a text
-    are those of its words. The cache is emptied when it is full.
+    are those of its words. New words are encoded many at a time, with a mark
+    between them. Words are kept in two generations: when the young one is full
+    it becomes the old one, and what is not met again is forgotten with it.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)  # for lower-case ASCII, which needs no normalizing
+        self.bare.normalizer = normalizers.Sequence([])
+        self.mark = np.frombuffer(self.ids(_MARK), "<u4")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > _CACHED_WORDS:
-            self.clear()
-            new = list(words)
-        for start in range(0, len(new), 10_000):
-            part = new[start:start + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, encoding in zip(part, found):
-                self[word] = np.array(encoding.ids, "<u4").tobytes()
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the different ``words``."""
+        if len(self.young) > _CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        plain, other = [], []
+        for word in words:
+            if word in self.young:
+                continue
+            found = self.old.get(word)
+            if found is not None:
+                self.young[word] = found
+            elif word.isascii():
+                plain.append(word)
+            else:
+                other.append(word)
+        self._learn(self.bare, plain)
+        self._learn(self.tokenizer, other)
+        return list(map(self.young.__getitem__, words))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` in a row, and where those of each begin and end."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+        coded = split.flatten().dictionary_encode()
+        found = self.words(coded.dictionary.cast(pa.binary()).to_pylist())
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        begin = np.cumsum(size, dtype=np.int32) - size
+        word = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[word])]).astype(np.int32)
+        at = np.repeat(begin[word] - ends[:-1], size[word]) + np.arange(ends[-1], dtype=np.int32)
+        return np.frombuffer(b"".join(found), "<u4")[at], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+    def _learn(self, tokenizer: Tokenizer, words: list[bytes]) -> None:
+        chunks = [words[i:i + _JOINED_WORDS] for i in range(0, len(words), _JOINED_WORDS)]
+        texts = [f" {_MARK} ".encode().join(chunk).decode() for chunk in chunks]
+        for chunk, text, encoding in zip(chunks, texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoding.ids, "<u4")
+            marks = np.flatnonzero(ids == self.mark[0]) * 4
+            if len(self.mark) == 1 and len(marks) == len(chunk) - 1 == text.count(_MARK):
+                flat = ids.tobytes()
+                ends = [*marks.tolist(), len(flat)]
+                starts = [0, *(marks + 4).tolist()]
+                self.young.update(zip(chunk, [flat[a:b] for a, b in zip(starts, ends)]))
+            else:
+                self.young.update((word, self.ids(word.decode())) for word in chunk)
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
     end = np.array([end_id], "<u4").tobytes()
-    odd = bytes(range(0x1C, 0x20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = _Encoder(path)
         encoder = _encoders[path]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out: dict[str, list] = {f.name: [] for f in schema}
-                texts = batch.column("text").to_pylist()
-                split = [t.lower().split() for t in texts]
-                encoder.learn(set().union(*split))
-                for doc_id, words, text in zip(batch.column("doc_id").to_pylist(), split, texts):
-                    if any(c in text for c in odd) or b"<|" in text:
-                        ids = encoder.ids(text.decode()) + end
-                    else:
-                        ids = b"".join(map(encoder.__getitem__, words)) + end
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start:start + 4 * capacity]
-                        out["doc_id"].append(doc_id)
-                        out["piece"].append(k)
-                        out["start"].append(start // 4)
-                        out["length"].append(len(part) // 4)
-                        out["ids_crc32"].append(zlib.crc32(part))
-                        if with_ids:
-                            out["ids"].append(np.frombuffer(part, "<i4"))
-                yield to_batch(out, schema)
+        for batch in _slices(batches):
+            out: dict[str, list] = {f.name: [] for f in schema}
+            texts = batch.column("text")
+            # Characters that the tokenizer may take for white space, and its special tokens.
+            odd = pc.match_substring_regex(texts, r"[\x1c-\x1f]|<\|").to_numpy(zero_copy_only=False)
+            flat, bounds = encoder.texts(pc.if_else(pa.array(odd), b"", texts))
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                ids = (encoder.ids(texts[k].as_py().decode()) if odd[k] else flat[bounds[k]:bounds[k + 1]].tobytes()) + end
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start:start + 4 * capacity]
+                    out["doc_id"].append(doc_id)
+                    out["piece"].append(piece)
+                    out["start"].append(start // 4)
+                    out["length"].append(len(part) // 4)
+                    out["ids_crc32"].append(zlib.crc32(part))
+                    if with_ids:
+                        out["ids"].append(np.frombuffer(part, "<i4"))
+            yield to_batch(out, schema)
 
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``_SLICE_BYTES`` of text, or of one longer text."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = size[start - 1] if start else 0
+            stop = max(int(np.searchsorted(size, before + _SLICE_BYTES, "right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def combine(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Combinations of lengths and how often each is used; every piece is used once.
 
