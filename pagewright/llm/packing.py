@@ -24,7 +24,7 @@ from tokenizers import Tokenizer, normalizers
 from pagewright.llm.common import raw_text, to_batch
 from pagewright.session import materialize
 
-_CACHED_WORDS = 250_000
+_CACHED_WORDS = 200_000
 _JOINED_WORDS = 200
 _MARK = "~"
 _SLICE_BYTES = 4 << 20
@@ -71,22 +71,21 @@ class _Encoder:
         self._learn(self.tokenizer, other)
         return list(map(self.young.__getitem__, words))
 
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``texts`` in a row, and where those of each begin and end."""
+    def texts(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """Ids of all ``texts`` in a row, and the bytes at which those of each begin and end."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
         coded = split.flatten().dictionary_encode()
-        found = self.words(coded.dictionary.cast(pa.binary()).to_pylist())
-        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        begin = np.cumsum(size, dtype=np.int32) - size
-        word = coded.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(size[word])]).astype(np.int32)
-        at = np.repeat(begin[word] - ends[:-1], size[word]) + np.arange(ends[-1], dtype=np.int32)
-        return np.frombuffer(b"".join(found), "<u4")[at], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        found = pa.array(self.words(coded.dictionary.cast(pa.binary()).to_pylist()), pa.binary()).take(coded.indices)
+        if not len(found):
+            return memoryview(b""), [0] * len(split.offsets)
+        bounds = np.frombuffer(found.buffers()[1], np.int32)
+        return memoryview(found.buffers()[2]), bounds[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
 
     def _learn(self, tokenizer: Tokenizer, words: list[bytes]) -> None:
-        chunks = [words[i:i + _JOINED_WORDS] for i in range(0, len(words), _JOINED_WORDS)]
-        texts = [f" {_MARK} ".encode().join(chunk).decode() for chunk in chunks]
-        for chunk, text, encoding in zip(chunks, texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for start in range(0, len(words), _JOINED_WORDS):
+            chunk = words[start:start + _JOINED_WORDS]
+            text = f" {_MARK} ".encode().join(chunk).decode()
+            encoding, = tokenizer.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(encoding.ids, "<u4")
             marks = np.flatnonzero(ids == self.mark[0]) * 4
             if len(self.mark) == 1 and len(marks) == len(chunk) - 1 == text.count(_MARK):
@@ -114,7 +113,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             odd = pc.match_substring_regex(texts, r"[\x1c-\x1f]|<\|").to_numpy(zero_copy_only=False)
             flat, bounds = encoder.texts(pc.if_else(pa.array(odd), b"", texts))
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                ids = (encoder.ids(texts[k].as_py().decode()) if odd[k] else flat[bounds[k]:bounds[k + 1]].tobytes()) + end
+                ids = (encoder.ids(texts[k].as_py().decode()) if odd[k] else bytes(flat[bounds[k]:bounds[k + 1]])) + end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start:start + 4 * capacity]
                     out["doc_id"].append(doc_id)
