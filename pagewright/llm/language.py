@@ -25,6 +25,7 @@ _SIZE = 128  # byte codes; 0 stands for bytes that training never saw
 _SCALE = 256.0  # code lengths are kept in 1/256 bit
 _LETTER = re.compile(rb"[A-Za-z]")
 _PAD = b"\n\n\n"
+_SLICES = 64
 
 
 @dataclass(frozen=True)
@@ -164,7 +165,11 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
     named = docs.where("lang is not null and text is not null").select(
         F.col("doc_id"), F.col("lang").cast("string").alias("lang"), raw_text(F.col("text")).alias("text"))
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.select("doc_id", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= params.documents)
+    # The first of each slice of a language, then the first of those: no task orders a whole language.
+    part = Window.partitionBy("lang", "slice").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = named.select("doc_id", "lang").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(_SLICES)))
+    for order in (part, turn):
+        picked = picked.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= params.documents)
     counts = (
         named.join(picked.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
         .mapInArrow(_windows, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
