@@ -1,11 +1,16 @@
 """Language-model scores from Brown classes.
 
-Exchange clustering assigns the most frequent words to classes so that class
-bigrams predict best; other words belong to classes by their ending. A text's
-probability is the product of smoothed class transitions and word emissions.
-Word counts and class bigrams cover all training documents. Counts of the
-``head`` most frequent words travel with the tasks; those of all other words are
-joined.
+Exchange clustering assigns every word seen often enough to a class so that
+class bigrams predict best; only rarer words belong to classes by their ending.
+A text's probability is the product of smoothed class transitions and word
+emissions. Word counts and bigrams cover all training documents.
+
+The most frequent words are clustered among themselves first. Then tasks hold
+slices of the clustered words with the counts of their neighbours, and score
+each word's moves against the small class-by-class table, until they settle.
+So the driver and the tasks need a hash and a class of each clustered word, and
+no bigrams of words. Counts of the ``head`` most frequent words travel with the
+tasks; those of all other words are joined.
 """
 
 from __future__ import annotations
@@ -19,17 +24,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from pagewright.llm.common import raw_text, to_batch
+from pagewright.llm.common import raw_text, sorted_runs, to_batch
 from pagewright.session import materialize
 
 _END = b"\n"  # no word: words hold no white space
 _FLUSH = 300_000
+_TOKENS = 1_000_000  # tokens whose bigrams are counted at once, and those of a slice of words
+_PAIRS = 4_000_000  # different bigrams a task holds
+_GAIN = 1e-3  # log-likelihood below which sums of a whole corpus are rounding
+_SETTLED = 1e-3  # log-likelihood a bigram: a thousandth of the perplexity
 
 
 @dataclass(frozen=True)
 class BrownParams:
-    """``words`` are clustered into ``classes``; others fall into ``endings`` classes."""
+    """Words seen ``least`` times are clustered into ``classes``; others fall into ``endings`` classes.
+    The first ``words`` of them start the classes, in at most ``rounds`` rounds; all move until the likelihood settles."""
 
     classes: int = 48
     words: int = 1000
@@ -37,6 +48,7 @@ class BrownParams:
     head: int = 100_000
     rounds: int = 6
     smoothing: float = 5.0
+    least: int = 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -64,29 +76,247 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _bigrams(number: dict[bytes, int], params: BrownParams):
-    """Counts of neighbouring classes-to-be: clustered words, endings, and the end, which also starts."""
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
-    base, end = params.words, params.words + params.endings
-    size = end + 1
+@dataclass(frozen=True)
+class Vocabulary:
+    """Numbers of the clustered words, the most frequent first; then come the endings and the end, which also starts.
+
+    ``hashes`` are sorted, ``order`` has their words' numbers.
+    """
+
+    hashes: np.ndarray
+    order: np.ndarray
+    endings: int
+
+    @property
+    def size(self) -> int:
+        return len(self.hashes) + self.endings + 1
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        n = len(self.hashes)
+        out = np.fromiter((n + ending(w, self.endings) for w in words), np.int64, len(words))
+        if n and words:
+            mine = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+            at = np.minimum(np.searchsorted(self.hashes, mine), n - 1)
+            out = np.where(self.hashes[at] == mine, self.order[at], out)
+        return np.where(np.fromiter((w == _END for w in words), bool, len(words)), self.size - 1, out)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+_SLICE = pa.schema([("slice", pa.int32()), ("right", pa.bool_()), ("pairs", pa.binary()), ("n", pa.binary())])
+
+
+def _bigrams(known: Vocabulary, slices: int):
+    """Bigrams of a task: for each slice of the clustered words those they begin and those they end; in slice -1 the others."""
+    size, words = known.size, len(known.hashes)
+
+    def out(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        for right in (True, False):
+            own, other = np.divmod(pairs, size) if right else np.divmod(pairs, size)[::-1]
+            part = np.where(own < words, own % slices, slices)
+            if right:
+                part = np.where((own >= words) & (other >= words), -1, part)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(-1, slices + 1))
+            for k in range(slices + 1):
+                mine = order[bounds[k]:bounds[k + 1]]
+                if len(mine):
+                    rows.append((k - 1, right, (own[mine] * size + other[mine]).tobytes(), n[mine].tobytes()))
+        return to_batch(dict(zip(_SLICE.names, zip(*rows))) if rows else dict.fromkeys(_SLICE.names, ()), _SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
+        pairs, n, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def count() -> None:
+            nonlocal pairs, n, held
+            kinds = list(set(held))
+            number = dict(zip(kinds, known.numbers(kinds).tolist()))
+            ids = np.fromiter(map(number.__getitem__, held), np.int64, len(held))
+            found = np.concatenate([[size - 1], ids[:-1]]) * size + ids
+            pairs, n = _summed(np.concatenate([pairs, found]), np.concatenate([n, np.ones(len(found), np.int64)]))
+            held = []
+
         for batch in batches:
             for text in batch.column("text"):
-                ids = [end]
-                for w in tokens(text.as_py()):
-                    k = number.get(w)
-                    ids.append(base + zlib.crc32(w[-2:]) % params.endings if k is None else k)
-                flat = np.array(ids, np.int64)
-                found, n = np.unique(flat[:-1] * size + flat[1:], return_counts=True)
-                total[found] += n
-        at = np.flatnonzero(total)
-        yield to_batch({"pair": at, "n": total[at]}, schema)
+                held += tokens(text.as_py())
+                if len(held) >= _TOKENS:
+                    count()
+                    if len(pairs) > _PAIRS:
+                        yield out(pairs, n)
+                        pairs, n = pairs[:0], n[:0]
+        if held:
+            count()
+        yield out(pairs, n)
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each slice and side."""
+    def out() -> pa.RecordBatch:
+        return to_batch({"slice": [last[0]], "right": [last[1]], "pairs": [pairs.tobytes()], "n": [n.tobytes()]}, _SLICE)
+
+    last, pairs, n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["slice"], row["right"]) != last:
+                if last:
+                    yield out()
+                last, pairs, n = (row["slice"], row["right"]), pairs[:0], n[:0]
+            pairs, n = _summed(np.concatenate([pairs, np.frombuffer(row["pairs"], np.int64)]), np.concatenate([n, np.frombuffer(row["n"], np.int64)]))
+    if last:
+        yield out()
+
+
+def _table(of: np.ndarray, total: int, words: int):
+    """Counts of neighbouring classes. Of the bigrams a clustered word ends, only those that no clustered word begins."""
+    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, other = np.divmod(np.frombuffer(row["pairs"], np.int64), len(of))
+                n = np.frombuffer(row["n"], np.int64)
+                if not row["right"]:
+                    keep = other >= words
+                    own, other, n = other[keep], own[keep], n[keep]
+                pair, n = _summed(of[own].astype(np.int64) * total + of[other], n)
+                yield to_batch({"pair": pair, "n": n}, schema)
+
+    return run
+
+
+def _class_table(pairs: DataFrame, of: np.ndarray, total: int, words: int) -> np.ndarray:
+    found = pairs.mapInArrow(_table(of, total, words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(total * total)
+    table[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
+    return table.reshape(total, total)
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, up to a constant."""
+    return float(_f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum())
+
+
+def gains(right: np.ndarray, left: np.ndarray, own: np.ndarray, old: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """Log-likelihood each word gains in each class, over that without the word.
+
+    ``right`` and ``left`` are a word's bigrams with classes but for the ``own``
+    ones with itself. ``table`` has the words in their ``old`` classes.
+    """
+    out = np.zeros((len(right), classes))
+    k = np.arange(classes)
+    # The other class's part of the table, once with rows and once with columns as the word's classes.
+    for here, there, cells in ((right, left, table[:classes]), (left, right, table[:, :classes].T)):
+        w, d = np.nonzero(here)
+        for start in range(0, len(w), 20_000):
+            wi, di = w[start:start + 20_000], d[start:start + 20_000]
+            n = here[wi, di]
+            base = cells[:, di].T.copy()
+            back = di == old[wi]
+            base[back] -= there[wi[back]][:, :classes]
+            mine = np.flatnonzero(old[wi] < classes)
+            base[mine, old[wi[mine]]] -= n[mine]
+            both = np.flatnonzero(back & (old[wi] < classes))
+            base[both, di[both]] -= own[wi[both]]
+            _add_runs(out, wi, _f(base + n[:, None]) - _f(base))
+    # Cells of a class with itself get all three at once.
+    diagonal = np.tile(table[k, k], (len(right), 1))
+    inside = np.flatnonzero(old < classes)
+    at = old[inside]
+    diagonal[inside, at] -= right[inside, at] + left[inside, at] + own[inside]
+    r, l_ = right[:, :classes], left[:, :classes]
+    out += _f(diagonal + r + l_ + own[:, None]) - _f(diagonal + r) - _f(diagonal + l_) + _f(diagonal)
+    for n, sums in ((right.sum(axis=1) + own, table.sum(axis=1)), (left.sum(axis=1) + own, table.sum(axis=0))):
+        rest = np.tile(sums[:classes], (len(right), 1))
+        rest[inside, at] -= n[inside]
+        out -= _f(rest + n[:, None]) - _f(rest)
+    return out
+
+
+def _add_runs(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds ``values`` to the sorted ``rows``."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    out[rows[first]] += np.add.reduceat(values, first, axis=0)
+
+
+def _moves(of: np.ndarray, table: np.ndarray, classes: int, words: int):
+    """Words of the slices that gain in another class, and that class."""
+    schema = pa.schema([("word", pa.int32()), ("to", pa.int32())])
+    total = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in sorted_runs(batches, ["slice"]):
+            sides = {True: (np.zeros(0, np.int64),) * 2, False: (np.zeros(0, np.int64),) * 2}
+            for right, pairs, n in zip(columns["right"], columns["pairs"], columns["n"]):
+                sides[bool(right)] = np.frombuffer(pairs, np.int64), np.frombuffer(n, np.int64)
+            if columns["slice"][0] < 0:
+                continue
+            word = np.unique(np.concatenate([pairs // len(of) for pairs, _ in sides.values()]))
+            for start in range(0, len(word), 1000):
+                part = word[start:start + 1000]
+                own, tables = np.zeros(len(part)), {}
+                for right, (pairs, n) in sides.items():
+                    a, b = np.searchsorted(pairs, [part[0] * len(of), (part[-1] + 1) * len(of)])
+                    w, other = np.divmod(pairs[a:b], len(of))
+                    at, n = np.searchsorted(part, w), n[a:b]
+                    self_ = w == other
+                    own[at[self_]] = n[self_]
+                    tables[right] = np.bincount((at * total + of[other])[~self_], n[~self_], len(part) * total).reshape(-1, total)
+                old = of[part].astype(np.int64)
+                value = gains(tables[True], tables[False], own, old, table, classes)
+                best = value.argmax(axis=1)
+                row = np.arange(len(part))
+                gain = value[row, best] - value[row, np.minimum(old, classes - 1)]
+                move = (old >= classes) | (gain > _GAIN)
+                yield to_batch({"word": part[move], "to": best[move]}, schema)
 
     return run
 
 
+def cluster(pairs: DataFrame, of: np.ndarray, classes: int, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words and their table, from ``of``, in which clustered words may still have their ending's class.
+
+    Each round scores all words, and moves those that gain. Where these moves
+    together do not raise the likelihood, every second one of them is tried, and
+    so on: a single move always does. Rounds go on until nothing moves, or until
+    a round gains less than ``_SETTLED`` a bigram.
+    """
+    table = _class_table(pairs, of, total, words)
+    step = 1
+    while True:
+        found = pairs.mapInArrow(_moves(of, table, classes, words), "word int, to int").toPandas().sort_values("word")
+        at, to = found["word"].to_numpy(np.int64), found["to"].to_numpy(np.int64)
+        unplaced = bool((of[at] >= classes).any())
+        if not len(at):
+            return of, table
+        step = 1 if unplaced else max(1, step // 2)
+        while True:
+            new = of.copy()
+            new[at[::step]] = to[::step]
+            moved = _class_table(pairs, new, total, words)
+            gain = likelihood(moved) - likelihood(table)
+            if unplaced or gain > 0:
+                of, table = new, moved
+                if not unplaced and gain < _SETTLED * table.sum():
+                    return of, table
+                break
+            if step >= len(at):
+                return of, table
+            step *= 2
+
+
 def exchange(pairs: np.ndarray, free: int, classes: int, rounds: int) -> np.ndarray:
     """Class of each row of the bigram counts ``pairs``; rows from ``free`` on keep a class of their own.
 
@@ -94,7 +324,7 @@ def exchange(pairs: np.ndarray, free: int, classes: int, rounds: int) -> np.ndar
     ``sum f(n(c, d)) - sum f(n(c, .)) - sum f(n(., c))`` with ``f(x) = x log x``;
     rounds go on until nothing moves.
     """
-    f = lambda x: x * np.log(np.maximum(x, 1e-12))
+    f = _f
     n = len(pairs)
     pairs = pairs.astype(np.float64)
     often = np.argsort(-pairs[:free].sum(axis=1), kind="stable")
@@ -126,7 +356,7 @@ def exchange(pairs: np.ndarray, free: int, classes: int, rounds: int) -> np.ndar
             gain = (f(rows + right) - f(rows)).sum(axis=1) + (f(columns + left) - f(columns)).sum(axis=1)
             diagonal = table[k, k]
             gain += f(diagonal + right[k] + left[k] + self_) - f(diagonal + right[k]) - f(diagonal + left[k]) + f(diagonal)
-            sums, others = table.sum(axis=1)[:classes], table.sum(axis=0)[:classes]
+            sums, others = (table.sum(axis=1) + left)[:classes], (table.sum(axis=0) + right)[:classes]
             gain -= f(sums + right.sum() + self_) - f(sums) + f(others + left.sum() + self_) - f(others)
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9:
@@ -144,11 +374,12 @@ def exchange(pairs: np.ndarray, free: int, classes: int, rounds: int) -> np.ndar
 @dataclass(frozen=True)
 class BrownModel:
     """``head``: count and class of frequent words. ``step[c, d]``: log10 of the transition from
-    class c to d less that of the emissions' denominator of d."""
+    class c to d less that of the emissions' denominator of d. ``of``: class of each number of ``known``."""
 
     head: dict[bytes, tuple[float, int]]
     step: np.ndarray
-    first_ending: int
+    known: Vocabulary
+    of: np.ndarray
     end: int
     train_tokens: int
     distinct: int
@@ -158,50 +389,47 @@ class BrownModel:
 def fit(docs: DataFrame, params: BrownParams = BrownParams()) -> tuple[BrownModel, DataFrame]:
     """The model of ``docs(text)`` and the counts ``(word, n)`` of its other words.
 
-    The driver holds the ``head`` counts, bigrams of at most ``words`` words and
-    one count per class.
+    The driver holds the ``head`` counts, bigrams of at most ``words`` words, a
+    hash, count and class of each clustered word, and one count per class.
     """
     rows = docs.select(raw_text(F.col("text")).alias("text"))
     counts = materialize(rows.mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(params.head).toPandas()
     head = [bytes(w) for w in top["word"]]
-    number = {w: i for i, w in enumerate([w for w in head if w != _END][:params.words])}
-    end_id = params.words + params.endings
-    number[_END] = end_id
-    size = end_id + 1
-    found = (
-        rows.mapInArrow(_bigrams(number, params), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    )
-    pairs = np.zeros(size * size)
-    pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
-    of = exchange(pairs.reshape(size, size), params.words, params.classes, params.rounds)
+    kind = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(params.endings)).cast("int")
+    clustered = (F.col("n") >= params.least) & (F.col("word") != F.lit(bytearray(_END)))
+    often = counts.where(clustered).orderBy(F.desc("n"), "word").select(F.xxhash64("word").alias("hash"), "n", kind.alias("k")).toPandas()
+    hashes, words = often["hash"].to_numpy(np.int64), len(often)
+    order = np.argsort(hashes, kind="stable")
+    known = Vocabulary(hashes[order], order, params.endings)
+    slices = max(1, -(-int(total["n"]) // _TOKENS))
+    pairs = materialize(
+        rows.mapInArrow(_bigrams(known, slices), "slice int, right boolean, pairs binary, n binary")
+        .repartition("slice").sortWithinPartitions("slice", "right").mapInArrow(_merged, "slice int, right boolean, pairs binary, n binary"), "bigrams")
+    # The most frequent words among themselves, then all.
+    starts = min(words, params.words)
+    fallback = np.concatenate([often["k"].to_numpy(np.int64), np.arange(params.endings + 1)]).astype(np.int32)
+    first = fallback + starts
+    first[:starts] = np.arange(starts)
+    seeds = _class_table(pairs, first, starts + params.endings + 1, words)
+    of = fallback + params.classes
+    of[:starts] = exchange(seeds, starts, params.classes, params.rounds)[:starts]
     total_classes = params.classes + params.endings + 1
     first_ending, end = params.classes, total_classes - 1
-    table = np.zeros((total_classes, total_classes))
-    np.add.at(table, (of[:, None], of[None, :]), pairs.reshape(size, size))
-    # Tokens and different words of each class: clustered ones from the head, others by ending.
-    tokens_of, words_of = np.zeros(total_classes), np.zeros(total_classes)
-    by_ending = (
-        counts.withColumn("k", F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(params.endings)))
-        .groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    )
-    for r in by_ending:
-        tokens_of[first_ending + r["k"]], words_of[first_ending + r["k"]] = r["n"], r["v"]
-    classes_of = {}
-    for word, n in zip(head, top["n"]):
-        k = number.get(word)
-        own = first_ending + ending(word, params.endings)
-        classes_of[word] = (float(np.log10(n + 1)), own if k is None else int(of[k]))
-        if k is not None:
-            tokens_of[own] -= n
-            words_of[own] -= 1
-            tokens_of[of[k]] += n
-            words_of[of[k]] += 1
+    of, table = cluster(pairs, of, params.classes, total_classes, words)
+    # Tokens and different words of each class.
+    n = often["n"].to_numpy(np.float64)
+    tokens_of, words_of = np.bincount(of[:words], n, total_classes), np.bincount(of[:words], minlength=total_classes).astype(float)
+    for r in counts.where(~clustered).groupBy((F.col("word") == F.lit(bytearray(_END))).alias("ends"), kind.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        k = end if r["ends"] else first_ending + r["k"]
+        tokens_of[k] += r["n"]
+        words_of[k] += r["v"]
+    classes_of = dict(zip(head, zip(np.log10(top["n"].to_numpy(float) + 1).tolist(), of[known.numbers(head)].tolist())))
     to = table.sum(axis=0) + 0.5
     step = (table + params.smoothing * to / to.sum()) / (table.sum(axis=1, keepdims=True) + params.smoothing)
     step = np.log10(step) - np.log10(tokens_of + words_of + 1)[None, :]
-    model = BrownModel(classes_of, step, first_ending, end, int(total["n"]), int(total["v"]), params)
+    model = BrownModel(classes_of, step, known, of, end, int(total["n"]), int(total["v"]), params)
     rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in map(bytearray, head)], "word binary")), "word", "left_anti")
     return model, rest
 
@@ -211,7 +439,7 @@ def _score(model: BrownModel):
                         ("emitted", pa.float64()), ("walked", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, endings, first = model.head, model.params.endings, model.first_ending
+        head = model.head
         for batch in batches:
             out = {f.name: [] for f in schema}
             out["doc_id"], out["held_out"] = batch.column("doc_id"), batch.column("held_out")
@@ -219,7 +447,8 @@ def _score(model: BrownModel):
                 words = tokens(text.as_py())
                 found = [head.get(w) for w in words]
                 rare = [w for w, k in zip(words, found) if k is None]
-                ids = np.array([model.end] + [first + zlib.crc32(w[-2:]) % endings if k is None else k[1] for w, k in zip(words, found)])
+                ids = np.array([model.end] + [-1 if k is None else k[1] for k in found])
+                ids[ids < 0] = model.of[model.known.numbers(rare)]
                 ids[-1] = model.end
                 out["n_tokens"].append(len(words))
                 out["known"].append(len(words) - len(rare))

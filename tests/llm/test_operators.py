@@ -298,6 +298,40 @@ def test_exchange_finds_classes():
     assert [len(set(of[list(g)])) for g in groups] == [1, 1, 1] and len(set(of[:30])) == 3
 
 
+def test_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    words, classes, total = 30, 5, 10
+    pairs = (rng.integers(0, 6, (35, 35)) * (rng.random((35, 35)) < 0.5)).astype(float)
+    of = np.concatenate([rng.integers(0, classes, words), np.arange(classes, total)])
+    of[3] = 6
+
+    def table(of):
+        out = np.zeros((total, total))
+        np.add.at(out, (of[:, None], of[None, :]), pairs)
+        return out
+
+    own = np.diag(pairs)[:words]
+    right, left = (np.array([np.bincount(of, side[w] * (np.arange(35) != w), total) for w in range(words)]) for side in (pairs, pairs.T))
+    got = brown.gains(right, left, own, of[:words], table(of), classes)
+    for w in range(words):
+        values = [brown.likelihood(table(np.where(np.arange(35) == w, k, of))) for k in range(classes)]
+        assert np.allclose(got[w] - got[w][0], np.array(values) - values[0])
+
+
+def test_every_frequent_word_gets_an_exchange_class(spark):
+    rng = random.Random(12)
+    groups = [[f"{a}{i}x{i % 7}" for i in range(500)] for a in "abc"]
+    texts = [" ".join(rng.choice(groups[(start + i) % 3]) for i in range(300)) for start in range(3) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)] + [(900, "a1x1 rare", False)], "doc_id long, text string, held_out boolean").repartition(5)
+    model, rest = brown.fit(docs, brown.BrownParams(words=60, classes=3))
+    counts = Counter(w for t in texts for w in t.split())
+    often = [w for g in groups for w in g if counts[w] >= 20]
+    assert len(often) > 1400 and len(model.known.hashes) == len(often)
+    classes = [{int(k) for k in model.of[model.known.numbers([w.encode() for w in g if counts[w] >= 20])]} for g in groups]
+    assert sorted(map(sorted, classes)) == [[0], [1], [2]]
+    assert model.of[model.known.numbers([b"rare"])][0] >= 3 and brown.score(docs, model, rest).count() == 301
+
+
 def test_license_phrases(spark, odd):
     docs = spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([
         (10_001, "CC-BY cc by, All Rights\nReserved. all rights reserved"), (10_002, "Licensed under the Apache Foundation"),
