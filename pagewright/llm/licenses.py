@@ -1,10 +1,10 @@
 """License scans with a positional rare-token index. DataFrame functions only.
 
-A text is reduced to the licence words in it and their positions. The text's
-highest-IDF licence words are looked up in the index of notices (word, notice,
-position); each posting proposes a place for its notice. At a place the words
-of text and notice are intersected by relative position, and the notice's key
-phrase must be complete.
+A text is reduced to the licence words in it and their positions. The index of
+notices (word, notice, position) holds the highest-IDF word of each notice's key
+phrase; every occurrence of it in a text proposes a place for its notice. At a
+place the words of text and notice are intersected by relative position, and the
+notice's key phrase must be complete, so no place that counts is left out.
 """
 
 from __future__ import annotations
@@ -35,15 +35,10 @@ NOTICES = (
     ("isc", "isc license", "licensed under the isc license"),
 )
 
-# Too common in any text to propose a place.
-_PLAIN = {"the", "of", "a", "in", "to", "and", "under", "with", "is", "or", "this", "are", "by", "all", "use", "work", "v", "0", "2", "3", "4"}
-
-
 @dataclass(frozen=True)
 class LicenseParams:
-    """``rarest``: words of a text that are looked up; ``least``: share of a notice's IDF that must stand."""
+    """``least``: share of a notice's IDF that must stand."""
 
-    rarest: int = 4
     least: float = 0.6
 
 
@@ -95,22 +90,15 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> D
     total = found.count()
     frequency = {r["word"]: r["count"] for r in seen.collect()}
     idf = {i: float(f"{_idf(total, frequency.get(i, 0)):.9f}") for i in known.values()}
-    order = sorted((i for w, i in known.items() if w not in _PLAIN), key=lambda i: (-idf[i], i))
-    rank = {i: r for r, i in enumerate(order)}
-    ranks = F.array(*(F.lit(rank.get(i)).cast("int") for i in range(len(known) + 1)))
-
-    def ranked(h: Column) -> Column:
-        return F.get(ranks, (h % _SLOT).cast("int"))
-
-    rarest = F.slice(F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", ranked)))), 1, params.rarest)
     postings: dict[int, list[tuple[int, int]]] = {}
-    for n, (_, _, notice) in enumerate(NOTICES):
-        for at, word in enumerate(notice.split()):
-            postings.setdefault(known[word], []).append((n, at))
+    for n, (_, key, notice) in enumerate(NOTICES):
+        start = _start(notice.split(), key.split())
+        k, word = max(enumerate(key.split()), key=lambda w: (idf[known[w[1]]], -w[0]))
+        postings.setdefault(known[word], []).append((n, start + k))
     place = "array<struct<notice:int,at:bigint>>"
     index = F.array(*(F.array(*(F.struct(F.lit(n).alias("notice"), F.lit(at).cast("long").alias("at")) for n, at in postings.get(i, []))).cast(place)
                       for i in range(len(known) + 1)))
-    anchors = F.filter("hits", lambda h: F.array_contains("rarest", F.coalesce(ranked(h), F.lit(-1))))
+    anchors = F.filter("hits", lambda h: (h % _SLOT).isin(*postings))
     proposed = F.array_distinct(F.flatten(F.transform(anchors, lambda h: F.transform(
         F.get(index, (h % _SLOT).cast("int")),
         lambda p: F.struct(p["notice"].alias("notice"), (F.floor(h / _SLOT) - p["at"]).alias("at"))))))
@@ -121,7 +109,7 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> D
             terms = notice.split()
             codes = [at * _SLOT + known[w] for at, w in enumerate(terms)]
             weights = [idf[known[w]] for w in terms]
-            start = next(i for i in range(len(terms)) if terms[i:i + len(key.split())] == key.split())
+            start = _start(terms, key.split())
             must = F.array(*(F.lit(c).cast("long") for c in codes[start:start + len(key.split())]))
             here = F.transform(
                 F.filter("hits", lambda h: (h >= p["at"] * _SLOT) & (h < (p["at"] + len(terms)) * _SLOT)),
@@ -141,7 +129,7 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> D
     every = F.concat(*(F.col(f"_{k}") for k in range(len(base))))
     base_labels = F.array_compact(F.array(*(F.when(F.size(f"_{k}") > 0, F.lit(label)) for k, label in enumerate(base))))
     scanned = (
-        found.withColumn("rarest", rarest).withColumn("proposed", F.when(F.size("rarest") > 0, proposed))
+        found.withColumn("proposed", proposed)
         .withColumn("notices", F.coalesce(notices, F.array().cast("array<struct<label:string,word:bigint,share:double>>")))
         .withColumns({f"_{k}": starts for k, starts in enumerate(base.values())})
         .withColumn("places", every).withColumn("base", base_labels)
@@ -157,6 +145,10 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> D
         "notices")
 
 
+def _start(terms: list[str], key: list[str]) -> int:
+    return next(i for i in range(len(terms)) if terms[i:i + len(key)] == key)
+
+
 def _idf(total: int, frequency: int) -> float:
     from math import log
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from pagewright.llm import brown, language, queries, toxicity
 from pagewright.llm.components import connected_components
-from pagewright.llm.licenses import PHRASES, scan_licenses
+from pagewright.llm.licenses import NOTICES, PHRASES, scan_licenses
 from pagewright.llm.minhash import MinHashParams, near_duplicates
 from pagewright.llm.mixing import MixParams, mix, mixed_documents
 from pagewright.llm.packing import combine, pack
@@ -349,6 +349,15 @@ def test_license_phrases(spark, odd):
     assert got[10_001].labels == "cc-by,reserved" and got[10_002].labels == "" and got[10_003].labels == "apache-2.0" and got[10_004].labels == "mit"
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    prose = " binary forms permitted subject terms without source redistribution modification " * 5
+    texts = [" x ".join(notice for _, _, notice in NOTICES), *(prose + notice + prose for _, _, notice in NOTICES)]
+    docs = spark.createDataFrame(list(enumerate(texts + ["released under the mit license"] * 40)), "doc_id long, text string")
+    got = {r.doc_id: {n.label for n in r.notices} for r in scan_licenses(docs).collect()}
+    assert got[0] == {label for label, _, _ in NOTICES}
+    assert all(label in got[i] for i, (label, _, _) in enumerate(NOTICES, 1))
+
+
 def test_quality_counts(spark, odd):
     docs = spark.read.parquet(f"{TINY}/documents.parquet").unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 5"))
     rows = {(r.doc_id, r.n_words): r for r in judge(docs).collect()}
