@@ -38,7 +38,7 @@ _cache: dict[bytes, dict[str, float]] = {}
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``labelled`` bounds the labelled documents, ``positives``, ``negatives`` and ``landmarks`` bound the segments the machine is fitted on;
+    """``labelled`` bounds the labelled documents, ``positives``, ``negatives`` and ``landmarks`` bound the segments the machine is fitted on, each with all its windows;
     which segments tell toxic documents apart is counted over all these documents.
     A telling one stands in ``least_places`` different places of them, with log odds of ``least_odds``."""
 
@@ -77,8 +77,8 @@ def segments(text: str) -> list[str]:
     return found
 
 
-def _codes(words: list[str], window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all windows of ``words`` as small numbers, 0 where there is none, and the word of each window.
+def _parts(words: list[str], window: int, step: int) -> tuple[list[str], np.ndarray]:
+    """All windows of ``words`` and the word of each window.
 
     Marks stand before and after a word: many insults are known by how they begin.
     """
@@ -87,9 +87,14 @@ def _codes(words: list[str], window: int, step: int) -> tuple[np.ndarray, np.nda
         for s in range(0, max(len(word) - window + step, 1), step):
             parts.append(word[s:s + window])
             owner.append(i)
+    return parts, np.array(owner, np.int64)
+
+
+def _codes(parts: list[str], window: int) -> np.ndarray:
+    """Letters of windows as small numbers, 0 where there is none."""
     flat = np.frombuffer("".join(p.ljust(window, "\0") for p in parts).encode("utf-32-le"), "<u4").reshape(-1, window)
     small = np.where((flat >= 97) & (flat <= 122), flat - 96, 27 + flat % 37)
-    return np.where(flat == 0, 0, small).astype(np.int32), np.array(owner, np.int64)
+    return np.where(flat == 0, 0, small).astype(np.int32)
 
 
 def _norms(window: int, decay: float) -> np.ndarray:
@@ -105,10 +110,9 @@ def _triples(codes: np.ndarray, decay: float) -> Iterator[tuple[np.ndarray, floa
         yield np.where(codes[:, k] > 0, number, -1), decay ** (k - i - 2)
 
 
-def _vectors(words: list[str], params: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel-space vectors of the first window of each word: row, triple and value of what is not 0."""
-    codes, owner = _codes(words, params.window, params.step)
-    codes = codes[np.concatenate([[True], owner[1:] != owner[:-1]])]
+def _vectors(parts: list[str], params: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel-space vectors of windows: row, triple and value of what is not 0."""
+    codes = _codes(parts, params.window)
     norms = _norms(params.window, params.decay)[(codes > 0).sum(axis=1)]
     rows, numbers, values = [], [], []
     for number, weight in _triples(codes, params.decay):
@@ -119,12 +123,12 @@ def _vectors(words: list[str], params: ToxicityParams) -> tuple[np.ndarray, np.n
     return tuple(map(np.concatenate, (rows, numbers, values)))
 
 
-def _dense(words: list[str], known: np.ndarray, params: ToxicityParams) -> np.ndarray:
+def _dense(parts: list[str], known: np.ndarray, params: ToxicityParams) -> np.ndarray:
     """The vectors' columns for the triples ``known``."""
-    rows, numbers, values = _vectors(words, params)
+    rows, numbers, values = _vectors(parts, params)
     at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
     hit = known[at] == numbers
-    out = np.zeros((len(words), len(known)), np.float32)
+    out = np.zeros((len(parts), len(known)), np.float32)
     np.add.at(out, (rows[hit], at[hit]), values[hit])
     return out
 
@@ -152,12 +156,17 @@ def _machine(features: np.ndarray, labels: np.ndarray, places: np.ndarray, penal
 
 
 def _fit(good: dict[str, int], bad: dict[str, int], params: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Weights of letter triples and bias from segments of clean and of toxic sentences."""
+    """Weights of letter triples and bias from windows of clean and segments of toxic sentences.
+
+    Every window of a clean segment is clean; of a toxic one, the window the last
+    machine found most toxic is toxic, until no choice changes.
+    """
     weights = np.zeros(1 << 3 * _BITS, np.float32)
     if not bad or not good:
         return weights, -1.0
     half = params.landmarks // 2
-    marks = [w for side in (bad, good) for w in list(side)[:: max(1, len(side) // half)][:half]]
+    parts, owner = _parts(list(bad), params.window, params.step)
+    marks = [w for side in (dict.fromkeys(parts), good) for w in list(side)[:: max(1, len(side) // half)][:half]]
     known = np.unique(_vectors(marks, params)[1])
     if not len(known):
         return weights, -1.0
@@ -165,25 +174,40 @@ def _fit(good: dict[str, int], bad: dict[str, int], params: ToxicityParams) -> t
     values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
     keep = values > 1e-3 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    every = [*bad, *good]
+    every = [*parts, *good]
     x = np.concatenate([_dense(every[i:i + 2000], known, params) @ dense.T for i in range(0, len(every), 2000)]) @ root
-    w, bias = _machine(x, np.array([1] * len(bad) + [-1] * len(good)), np.array([*bad.values(), *good.values()], float), params.penalty)
+    clean = np.arange(len(parts), len(every))
+    places = np.concatenate([np.array(list(bad.values()), float)[owner], np.array(list(good.values()), float)])
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    chosen, tried = np.arange(len(parts)), set()
+    while chosen.tobytes() not in tried:
+        tried.add(chosen.tobytes())
+        used = np.concatenate([chosen, clean])
+        w, bias = _machine(x[used], np.where(used < len(parts), 1, -1), places[used], params.penalty)
+        # The most toxic window of each segment; the first of equal ones.
+        chosen = np.lexsort((np.arange(len(parts)), -(x[:len(parts)] @ w), owner))[first]
     weights[known] = (root @ w) @ dense
     return weights, bias
 
 
 def decisions(words: list[str], model: ToxicityModel) -> np.ndarray:
     """The machine's value of each word: that of its most toxic window."""
-    codes, owner = _codes(words, model.params.window, model.params.step)
+    parts, owner = _parts(words, model.params.window, model.params.step)
+    out = np.full(len(words), -np.inf, np.float32)
+    np.maximum.at(out, owner, _values(parts, model))
+    return out
+
+
+def _values(parts: list[str], model: ToxicityModel) -> np.ndarray:
+    """The machine's value of each window."""
+    codes = _codes(parts, model.params.window)
     total = np.zeros(len(codes), np.float32)
     padded = np.append(model.weights, np.float32(0))
     size = (codes > 0).sum(axis=1)
     longest = int(size.max()) if len(codes) else 0
     for number, weight in _triples(codes[:, :longest], model.params.decay):
         total += np.float32(weight) * padded[number]
-    out = np.full(len(words), -np.inf, np.float32)
-    np.maximum.at(out, owner, total / _norms(model.params.window, model.params.decay)[size] + np.float32(model.bias))
-    return out
+    return total / _norms(model.params.window, model.params.decay)[size] + np.float32(model.bias)
 
 
 def _known(words: set[str], model: ToxicityModel) -> dict[str, float]:
@@ -220,12 +244,15 @@ def _scorer(model: ToxicityModel, with_sentence: bool):
     return run
 
 
-def _words(model: ToxicityModel):
-    schema = pa.schema([("segment", pa.string()), ("good", pa.int64()), ("decision", pa.float64())])
+def _windows(model: ToxicityModel):
+    schema = pa.schema([("part", pa.string()), ("good", pa.int64()), ("decision", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield to_batch({"segment": batch.column("segment"), "good": batch.column("good"), "decision": decisions(batch.column("segment").to_pylist(), model)}, schema)
+            parts, owner = _parts(batch.column("segment").to_pylist(), model.params.window, model.params.step)
+            for at in range(0, len(parts), 4000):
+                good = batch.column("good").to_numpy()[owner[at:at + 4000]]
+                yield to_batch({"part": parts[at:at + 4000], "good": good, "decision": _values(parts[at:at + 4000], model)}, schema)
 
     return run
 
@@ -276,11 +303,16 @@ def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Toxic
     good = {}
     for order in (F.desc("good"), F.xxhash64("segment")):
         good |= dict(map(tuple, plain.orderBy(order, "segment").limit(half).select("segment", "good").collect()))
+    parts, owner = _parts(list(good), params.window, params.step)
+    places, good = list(good.values()), {}
+    for part, i in zip(parts, owner):
+        good[part] = good.get(part, 0) + places[i]
     weights, bias = _fit(good, bad, params)
-    # The clean segments this machine finds most toxic join the others.
+    # The clean windows this machine finds most toxic join the others.
     hard = (
-        plain.select("segment", "good").mapInArrow(_words(ToxicityModel(weights, bias, (1.0, 0.0), 0.0, params)), "segment string, good long, decision double")
-        .orderBy(F.desc("decision"), "segment").limit(half).select("segment", "good")
+        plain.select("segment", "good").mapInArrow(_windows(ToxicityModel(weights, bias, (1.0, 0.0), 0.0, params)), "part string, good long, decision double")
+        .groupBy("part").agg(F.sum("good").alias("good"), F.max("decision").alias("decision"))
+        .orderBy(F.desc("decision"), "part").limit(half).select("part", "good")
     )
     good |= dict(map(tuple, hard.collect()))
     weights, bias = _fit(good, bad, params)

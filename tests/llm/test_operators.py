@@ -233,6 +233,18 @@ def test_toxic_words_are_found_through_gaps(spark, rude, odd):
     assert toxicity.score(rude, blank).where("score >= 0.3").count() == 0
 
 
+def test_toxic_words_are_learned_from_all_windows():
+    rng = random.Random(4)
+    stems = ["lokunmade", "irstenpol", "vamadekun"]
+    clean = {f"{s}{''.join(rng.choices(['pol', 'va', 'ir', 'sten'], k=2))}": 20 for s in stems for _ in range(20)}
+    params = toxicity.ToxicityParams()
+    good = dict.fromkeys(toxicity._parts(list(clean), params.window, params.step)[0], 20) if hasattr(toxicity, "_parts") else clean
+    weights, bias = toxicity._fit(good, {f"{s}schnurf": 20 for s in stems}, params)
+    model = toxicity.ToxicityModel(weights, bias, (1.0, 0.0), 0.0, params)
+    assert (toxicity.decisions([f"{s}schnurf" for s in stems], model) > 0).all()
+    assert (toxicity.decisions(list(clean), model) < 0).all()
+
+
 def test_languages(spark, odd):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
     model = language.fit(docs.where("doc_id % 3 != 0"))
