@@ -88,6 +88,20 @@ def _candidates(share: float):
     return run
 
 
+def _exact(candidates: set[bytes]):
+    """Counts of the candidates per language."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                counts.update((lang, w) for w in text.lower().split() if w in candidates)
+        yield to_batch({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}, schema)
+
+    return run
+
+
 def _histograms(params: QualityParams, common: list[bytes]):
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in fields),
@@ -177,9 +191,11 @@ def judge(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame
         known.select("lang", "text").mapInArrow(_candidates(params.share), "lang string, word binary, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "common-words")
     totals = found.where("word is null").select("lang", F.col("n").alias("total"))
-    # A word that keeps its share in most batches; at most 2 / share for each language.
-    common = sorted({bytes(r["word"]) for r in found.where("word is not null").join(totals, "lang")
-                     .where(F.col("n") * 2 >= F.col("total") * params.share).select("word").distinct().collect()})
+    # A word with the share of all words has it in some batch; these words are counted in all documents.
+    candidates = {bytes(r["word"]) for r in found.where("word is not null").select("word").distinct().collect()}
+    exact = known.select("lang", "text").mapInArrow(_exact(candidates), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    common = sorted({bytes(r["word"]) for r in exact.join(totals, "lang")
+                     .where(F.col("n") >= F.col("total") * params.share).select("word").distinct().collect()})
     counted = materialize(source.mapInArrow(_histograms(params, common), base + ", chars array<long>, words array<int>"), "histograms")
     failed = (F.col("n_words") < params.fewest) | (F.col("n_repeat_words") * 100 > F.col("n_words") * params.repeat_percent)
     counted = counted.withColumn("base_failed", failed)

@@ -385,6 +385,12 @@ def test_quality_counts(spark, odd):
         assert o.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (o.base_failed and o.kept)
 
 
+def test_common_words_do_not_depend_on_batches(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    one, many = (sorted((r.doc_id, r.word_distance) for r in judge(docs.repartition(n, "doc_id")).collect()) for n in (1, 40))
+    assert one == many
+
+
 def test_pipeline_and_queries_run_on_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "embeddings"):
         spark.read.parquet(f"{TINY}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
