@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import brown, language, toxicity
+from pagewright.llm import brown, chat, language, merkle, toxicity
 from pagewright.llm.common import fold, read
 from pagewright.llm.licenses import scan_licenses
 from pagewright.llm.minhash import MinHashParams, near_duplicates
@@ -13,6 +13,7 @@ from pagewright.llm.mixing import mix
 from pagewright.llm.packing import pack
 from pagewright.llm.quality import judge
 from pagewright.llm.spans import remove_repeats
+from pagewright.llm.spelling import SpellingParams, spelling_forms
 from pagewright.llm.vectors import similar_vectors
 
 
@@ -65,8 +66,26 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), MinHashParams(percent=85))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_log(chat.events_of_turns(turns)))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rows = merkle.leaves(docs, fold(F.col("doc_id"), 5) == 0, merkle.lower_cased(F.col("text")))
+    return merkle.audit(merkle.build_manifest(rows))
+
+
+def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(read(spark, sf_dir, "documents"), SpellingParams(slips=199))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_license_scan, op2_quality_divergence, op3_language_ppm, op4_brown_lm, op5_mix_sources,
-    op6_pack_sequences, op7_span_dedup, op8_toxicity, op9_vector_dedup, op10_minhash_dedup)}
+    op6_pack_sequences, op7_span_dedup, op8_toxicity, op9_vector_dedup, op10_minhash_dedup,
+    op11_chat_format, op12_merkle_manifest, op13_spelling_forms)}
 
 ORACLE_SQL: dict[str, str] = {}
