@@ -16,9 +16,10 @@ from pagewright.operators.dfs import crawl_dfs
 from pagewright.operators.ordinals import global_ordinal
 from pagewright.operators.routes import page_routes
 from pagewright.params import IndexParams, SearchParams
-from pagewright.plans.crawl import PAGE_COLUMNS, crawl, store_crawl
+from pagewright.plans.crawl import PAGE_COLUMNS, crawl, link_table, page_table, store_crawl
 from pagewright.session import materialize, work_path
 from pagewright.sources import tables
+from pagewright.sources.buckets import create_buckets
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -58,10 +59,20 @@ def extract_pages(spark, sf):
     records = extract.page_records(V.table(spark, sf, "pages"))
     return records.select(
         "page_id", "url", "title", "content", "domain", "status_code",
-        F.size("hrefs").cast("long").alias("anchors"),
+        F.size("hrefs").cast("long").alias("anchors"), F.array_join("links", " ").alias("links"),
     )
 
 
+@query
+def page_defaults(spark, sf):
+    """Pages without markup, without a title, and with nothing but a title."""
+    third = F.col("page_id") % 3
+    html = F.when(third == 2, F.regexp_extract("html", "(?is)<title.*?</title>", 0)).when(
+        third == 1, F.concat(F.lit("<p>"), F.col("page_id"), F.lit("</p>")))
+    pages = V.table(spark, sf, "pages").select("page_id", "url", html.alias("html"))
+    return extract.extract_text(pages, links=False).select("page_id", "title", F.length("content").cast("long").alias("content_chars"))
+
+
 def _stored_pages(spark, sf):
     """All but the last page of each larger domain, as an older crawl left them."""
     old = V.crawl_pages(spark, sf).where("k < n - 1 OR n = 1")
@@ -87,13 +98,23 @@ def _visits(spark, sf):
 
 @query
 def upsert_pages(spark, sf):
-    stored = _stored_pages(spark, sf)
-    return tables.upsert_pages(stored, _visits(spark, sf), "seq", V.ntz(NOW))
+    """An older crawl stored in the page table, then the visits over it."""
+    table = page_table(spark, work_path(spark, "page-table"))
+    table = table.update(_stored_pages(spark, sf), lambda old, new: new)
+    visits = _visits(spark, sf).withColumn("domain", urls.extract_domain("url"))
+    return table.update(visits, lambda old, new: tables.upsert_pages(old, new, "seq", V.ntz(NOW))).read()
 
 
 @query
 def page_links(spark, sf):
-    return links.page_links(_visits(spark, sf), V.table(spark, sf, "pages"))
+    """The link table that storing the visits leaves, over pages an older crawl stored."""
+    path = work_path(spark, "page-table")
+    pages = V.crawl_pages(spark, sf).select(
+        "page_id", "url", F.lit("").alias("title"), F.lit("").alias("content"), "crawl_time", F.lit(0).alias("depth"),
+        F.lit(None).cast("string").alias("parent_url"), F.lit(200).alias("status_code"), F.lit(0).alias("crawl_order"))
+    store_crawl(pages, path, V.ntz(NOW))
+    store_crawl(_visits(spark, sf).withColumn("crawl_order", F.col("seq")), path, V.ntz(NOW))
+    return link_table(spark, path).read()
 
 
 @query
@@ -119,7 +140,12 @@ def history_append(spark, sf):
 
 @query
 def cache_upsert(spark, sf):
-    return V.search_cache(spark, sf)
+    """The searches in two batches, odd ids first, into a table in buckets of their keys."""
+    rows = C.header_rows(V.search_history(spark, sf), "searched_at", SEARCH)
+    table = create_buckets(spark, work_path(spark, "cache"), rows.schema, "query_hash", 16)
+    for part in (1, 0):
+        table = table.update(rows.where(F.col("id") % 2 == part), lambda old, new: C.upsert_header(old, new.select(*old.columns), ["created_at", "id"]))
+    return table.read().select("query_hash", "query", "domain_filter", "results_count", "created_at", "expires_at")
 
 
 @query
@@ -370,9 +396,17 @@ REGISTRY["search"] = REGISTRY.pop("search_ranked")
 
 @query
 def search_stored_index(spark, sf):
-    """The same search over postings written in term order."""
+    """The same search over an index stored and opened again from its path."""
+    path = ix.store_index(V.doc_index(spark, sf)).path
+    return _ranked(search.search(V.queries(spark, sf), ix.open_index(spark, path), SEARCH))
+
+
+@query
+def search_stored_domain(spark, sf):
+    """Totals of a stored index for one domain and for all, which read the postings' folders they need."""
     index = ix.store_index(V.doc_index(spark, sf))
-    return _ranked(search.search(V.queries(spark, sf), index, SEARCH))
+    filtered = V.queries(spark, sf).where("domain_filter = 'src1'")
+    return search.total_found(filtered.unionByName(V.queries(spark, sf).where("domain_filter = 'all'")), index, SEARCH)
 
 
 @query
@@ -563,16 +597,11 @@ def cache_lookup(spark, sf):
 def search_cached(spark, sf):
     """The batch queries fill the cache; then all queries run against it."""
     index = ix.store_index(V.doc_index(spark, sf))
-    header = spark.createDataFrame(
-        [], "query_hash string, query string, domain_filter string, created_at timestamp_ntz, expires_at timestamp_ntz"
-    )
-    hits = spark.createDataFrame([], "query_hash string, page_id long, score double")
-    _, filled = C.search_cached(
-        V.batch_queries(spark, sf), index, C.Cache(header, hits), V.ntz(NOW), SEARCH
-    )
+    empty = C.empty_cache(spark)
+    filled = C.search_cached(V.batch_queries(spark, sf), index, empty, V.ntz(NOW), SEARCH).new
     later = V.ntz("2024-06-01 00:30:00")
-    results, _ = C.search_cached(V.queries(spark, sf), index, filled, later, SEARCH)
-    return _ranked(results)
+    found = C.search_cached(V.queries(spark, sf), index, filled, later, SEARCH)
+    return _ranked(found.results.drop("route", "last_crawled"))
 
 
 @query
@@ -621,7 +650,7 @@ def domain_stats(spark, sf):
 def stats_record(spark, sf):
     return stats.stats(
         V.crawl_pages(spark, sf), V.search_history(spark, sf), V.search_cache(spark, sf),
-        V.doc_index(spark, sf).vocab, V.as_of(spark, sf), status="completed",
+        V.doc_index(spark, sf).vocab, V.as_of(spark, sf), stats.overall_status(V.crawls(spark, sf)),
     )
 
 
@@ -636,6 +665,14 @@ def result_page(spark, sf):
     return _ranked(page).withColumn("position", F.col("position").cast("long"))
 
 
+@query
+def result_page_domain(spark, sf):
+    """The first display page of one domain's results."""
+    found = search.search(V.queries(spark, sf), V.doc_index(spark, sf), SearchParams(limit=100))
+    page = search.result_page(found.drop("content_snippet", "title"), size=5, page=1, domain="src1")
+    return _ranked(page).withColumn("position", F.col("position").cast("long"))
+
+
 @query
 def page_by_url(spark, sf):
     """The pages that edges point to, looked up by url."""
@@ -645,5 +682,8 @@ def page_by_url(spark, sf):
 
 @query
 def replay_history(spark, sf):
-    asked = history.replay_queries(V.search_history(spark, sf))
+    """Past searches again: those of the events, and one for each benchmark text, which find pages."""
+    past = V.search_history(spark, sf).select("id", "query", "domain_filter")
+    batch = V.batch_queries(spark, sf).select((F.col("query_id") + 1_000_000_000).alias("id"), "query", "domain_filter")
+    asked = history.replay_queries(past.unionByName(batch))
     return _ranked(search.ranked_hits(asked, V.doc_index(spark, sf), SEARCH))

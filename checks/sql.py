@@ -247,6 +247,11 @@ CTES: dict[str, str] = {
     "replayed": """
         SELECT min(id) AS query_id, query, coalesce(domain_filter, 'all') AS domain_filter
         FROM search_history GROUP BY 2, 3""",
+    "replayed_all": f"""
+        SELECT min(id) AS query_id, query, coalesce(domain_filter, 'all') AS domain_filter
+        FROM (SELECT id, query, domain_filter FROM search_history
+              UNION ALL SELECT query_id + 1000000000, query, domain_filter FROM batch)
+        GROUP BY query, coalesce(domain_filter, 'all')""",
     "source_blanks": """
         SELECT min(doc_id) + 100000 AS query_id, ' ' AS query, source AS domain_filter
         FROM documents GROUP BY source
@@ -278,7 +283,7 @@ CTES: dict[str, str] = {
     **_index_ctes("d_", "docs"),
     **_search_ctes("s_", "docs", "all_queries", "d_"),
     **_search_ctes("e_", "docs", "source_blanks", "d_"),
-    **_search_ctes("h_", "docs", "replayed", "d_"),
+    **_search_ctes("h_", "docs", "replayed_all", "d_"),
     **_index_ctes("p_", "records"),
     **_search_ctes("r_", "records", "root_queries", "p_"),
     "routes": """
@@ -318,8 +323,14 @@ FINAL: dict[str, str] = {
     "scan_index_docs": "SELECT page_id, url, title, content, domain FROM docs",
     "extract_pages": f"""
         SELECT t.page_id, t.url, t.title, c.content, {_domain('t.url')} AS domain, 200 AS status_code,
-               (SELECT count(*) FROM anchors a WHERE a.page_id = t.page_id) AS anchors
+               (SELECT count(*) FROM anchors a WHERE a.page_id = t.page_id) AS anchors,
+               coalesce((SELECT string_agg(o.link, ' ' ORDER BY o.pos) FROM outlinks o WHERE o.page_id = t.page_id), '') AS links
         FROM titles t JOIN contents c USING (page_id)""",
+    "page_defaults": """
+        SELECT page_id, CASE WHEN page_id % 3 = 2 THEN title ELSE 'No Title' END AS title,
+               CASE WHEN page_id % 3 = 1 THEN length(page_id::VARCHAR)
+                    WHEN page_id % 3 = 2 AND title <> 'No Title' THEN length(title) ELSE 0 END AS content_chars
+        FROM titles""",
     "upsert_pages": f"""
         WITH stored AS ({_STORED_PAGES}),
              last AS (SELECT * FROM visits QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1)
@@ -453,9 +464,10 @@ FINAL: dict[str, str] = {
               FROM (SELECT * FROM all_queries UNION ALL SELECT * FROM replayed)) q
         LEFT JOIN search_cache c ON c.query_hash = q.query_hash AND c.expires_at > {_AS_OF}""",
     "search_cached": f"""
-        {_RANKED}, total_found, {_key('query', 'domain_filter')} IN (
+        {_RANKED}, d.url, d.title, d.domain, {_snippet('content')} AS content_snippet, total_found, {_key('query', 'domain_filter')} IN (
           SELECT {_key('b.query', 'b.domain_filter')} FROM batch b) AS cached
-        FROM s_hits JOIN s_totals USING (query_id) JOIN all_queries USING (query_id) WHERE rank <= 10""",
+        FROM s_hits JOIN s_totals USING (query_id) JOIN all_queries USING (query_id) JOIN docs d USING (page_id)
+        WHERE rank <= 10""",
     "cache_purge": f"SELECT * FROM search_cache WHERE expires_at > {_AS_OF}",
     "cache_clear": """
         SELECT 'left' AS metric, 0::BIGINT AS value
@@ -477,7 +489,9 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT 'cached_queries', '', count(*)::VARCHAR FROM search_cache WHERE expires_at > {_AS_OF}
         UNION ALL SELECT 'last_crawl', '', {_ISO.format(ts='max(crawl_time)')} FROM crawl_pages
         UNION ALL SELECT 'index_size', '', count(*)::VARCHAR FROM d_vocab
-        UNION ALL SELECT 'crawl_status', '', 'completed'
+        UNION ALL SELECT 'crawl_status', '', CASE WHEN bool_or(is_crawling) THEN 'crawling'
+          WHEN sum(pages_crawled) > 0 THEN 'completed' ELSE 'idle' END FROM crawls
+        UNION ALL SELECT DISTINCT 'domains', domain, domain FROM crawl_pages
         UNION ALL SELECT 'domain_stats', domain, count(*)::VARCHAR FROM crawl_pages GROUP BY domain""",
     "result_page": f"""
         WITH f AS (SELECT h.*, d.url, d.domain, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position,
@@ -487,6 +501,15 @@ FINAL: dict[str, str] = {
                CAST(ceil(c / 5) AS BIGINT) AS pages
         FROM f WHERE ceil(position / 5) = least(3, ceil(c / 5))""",
     "page_by_url": "SELECT page_id, url FROM pages WHERE url IN (SELECT t_url FROM edges)",
+    "result_page_domain": """
+        WITH f AS (SELECT h.*, d.url, d.domain, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position,
+                          count(*) OVER (PARTITION BY query_id) AS c
+                   FROM s_hits h JOIN docs d USING (page_id) WHERE rank <= 100 AND d.domain = 'src1')
+        SELECT query_id, rank, page_id, round(score, 6) AS score, url, domain, position,
+               CAST(ceil(c / 5) AS BIGINT) AS pages
+        FROM f WHERE position <= 5""",
+    "search_stored_domain": """
+        SELECT query_id, total_found FROM s_totals JOIN all_queries USING (query_id) WHERE domain_filter IN ('src1', 'all')""",
     "replay_history": f"{_RANKED} FROM h_hits WHERE rank <= 10",
 }
 

@@ -98,7 +98,13 @@ def words_and_pairs(words: Column | str) -> Column:
 
 
 def with_counts(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
-    """One row per distinct term of each row's array: ``keep``, term, tf.
+    """One row per distinct term of each row's array: ``keep``, term, tf."""
+    counted = with_count_arrays(df, terms, *keep)
+    return counted.select(*keep, F.explode(computed("counts")).alias("_r")).select(*keep, "_r.term", "_r.tf")
+
+
+def with_count_arrays(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """``keep`` and ``counts``, the distinct terms of each row's array with their tf.
 
     A document is one row, so its terms are counted inside the row: sort them,
     find where each run starts, take run lengths. Nothing is shuffled.
@@ -117,7 +123,7 @@ def with_counts(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
         ),
     )
     counted = sorted_terms.withColumn("_s", F.when(n > 0, starts))
-    return counted.select(*keep, F.explode(runs).alias("_r")).select(*keep, "_r.term", "_r.tf")
+    return counted.select(*keep, runs.alias("counts"))
 
 
 def snippet(content: Column | str, chars: int = 200) -> Column:

@@ -1,30 +1,46 @@
-"""The result cache: a header row per query key, and its hits as rows.
+"""The result cache: a header row per query key, and its best results as rows.
 
-Hits are stored long, not as one array per query: a query may match a third of
-a corpus, and such an array would not fit a task.
+An entry holds the record rows shown at caching time, up to a number of rows,
+and the exact number of results. So a hit shows what was found then, whatever
+became of the pages. A blank query is a marker: it matches every page of its
+domain, and its first pages are read when it is shown.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import cache_key, strip
 from pagewright.operators.index import Index
-from pagewright.operators.search import blank_hits, keyword_hits, rank_order, top_rows
+from pagewright.operators.search import blank_hits, describe_hits, keyword_hits, rank_order, top_rows, total_found
 from pagewright.params import SearchParams
 from pagewright.session import materialize
 
+HEADER = (
+    "query_hash string, query string, domain_filter string, blank boolean, total_found long, kept int, "
+    "created_at timestamp_ntz, expires_at timestamp_ntz"
+)
+RECORD = (
+    "query_hash string, rank int, page_id long, score double, url string, title string, domain string, "
+    "content_snippet string, route array<struct<url:string,title:string>>, last_crawled timestamp_ntz"
+)
+Describe = Callable[[DataFrame], DataFrame]
+
 
 @dataclass(frozen=True)
 class Cache:
-    """header: query_hash, query, domain_filter, created_at, expires_at.
-    hits: query_hash, page_id, score."""
+    """header: columns of ``HEADER``; ``kept`` is how many records an entry may hold. records: columns of ``RECORD``."""
 
     header: DataFrame
-    hits: DataFrame
+    records: DataFrame
+
+
+def empty_cache(spark: SparkSession) -> Cache:
+    return Cache(spark.createDataFrame([], HEADER), spark.createDataFrame([], RECORD))
 
 
 def with_key(queries: DataFrame) -> DataFrame:
@@ -72,53 +88,89 @@ def clear(header: DataFrame) -> tuple[DataFrame, DataFrame]:
     return header.limit(0), header.agg(F.count("*").alias("deleted"))
 
 
+def as_records(described: DataFrame) -> DataFrame:
+    """Described hits with the columns of a record; route and last_crawled are null where a search gives none."""
+    missing = {"route": "array<struct<url:string,title:string>>", "last_crawled": "timestamp_ntz"}
+    for name, kind in missing.items():
+        if name not in described.columns:
+            described = described.withColumn(name, F.lit(None).cast(kind))
+    return described.withColumn("rank", F.col("rank").cast("int"))
+
+
+@dataclass(frozen=True)
+class Answers:
+    """results: query_id, the record columns, total_found, cached; totals: query_id, total_found, cached.
+    new: the entries that the search adds to the cache."""
+
+    results: DataFrame
+    totals: DataFrame
+    new: Cache
+
+
 def search_cached(
     queries: DataFrame,
     index: Index,
     cache: Cache,
     as_of: Column,
     params: SearchParams = SearchParams(),
-) -> tuple[DataFrame, Cache]:
-    """Cache-first search: (results, cache with the new entries).
-
-    Results are query_id, rank, page_id, score, total_found, cached. Equal keys
-    are computed once. Entries hold all hits whatever the limit; searches
-    without hits are not stored.
+    describe: Describe | None = None,
+) -> Answers:
+    """Cache-first search.
+
+    Equal keys are computed once. An entry answers when it is alive and holds
+    as many records as are asked for, or all there were. Searches without
+    results are not stored. ``describe`` adds the record columns to ranked hits
+    (query_id, rank, page_id, score).
     """
-    live = purge(cache.header, as_of)
+    describe = describe or (lambda ranked: describe_hits(ranked, index.docs, params))
+    known = purge(cache.header, as_of).select("query_hash", F.col("total_found").alias("_total"), "kept")
+    answers = F.col("_total").isNotNull() & (
+        (F.col("kept") >= params.limit) | (F.col("kept") >= F.col("_total")) | (strip("query") == ""))
     asked = materialize(
-        with_key(queries).join(
-            live.select("query_hash", F.lit(True).alias("_live")), "query_hash", "left"
-        ).select(*queries.columns, "query_hash", F.coalesce("_live", F.lit(False)).alias("cached")),
+        with_key(queries).join(known, "query_hash", "left").select(
+            *queries.columns, "query_hash", (strip("query") == "").alias("blank"),
+            F.coalesce(answers, F.lit(False)).alias("cached"), "_total"),
         "asked",
     )
-    misses = asked.where(~F.col("cached")).groupBy("query_hash").agg(
-        F.min_by(F.struct("query_id", "query", "domain_filter"), "query_id").alias("_q")
+    misses = asked.where("not cached").groupBy("query_hash").agg(
+        F.min_by(F.struct("query_id", "query", "domain_filter", "blank"), "query_id").alias("_q")
     ).select("query_hash", "_q.*")
-    computed = keyword_hits(misses, index, params).unionByName(blank_hits(misses, index.docs, None))
-    new_hits = materialize(
-        computed.join(misses.select("query_id", "query_hash"), "query_id").select(
-            "query_hash", "page_id", "score"
-        ),
-        "cache-hits",
+    misses = materialize(misses, "misses")
+    kept = max(params.limit, params.cache_rows)
+    found = materialize(total_found(misses, index, params).where("total_found > 0"), "totals")
+    entries = misses.join(found, "query_id").select(
+        "query", "domain_filter", "blank", "total_found", F.lit(kept).alias("kept"))
+    header = materialize(header_rows(entries, as_of, params).select(*cache.header.columns), "new-entries")
+    hits = keyword_hits(misses.where("not blank"), index, params)
+    ranked = materialize(top_rows(hits, "query_id", rank_order(), kept, "rank"), "ranked")
+    new_records = materialize(
+        as_records(describe(ranked)).join(misses.select("query_id", "query_hash"), "query_id").select(*cache.records.columns),
+        "new-records",
     )
-    kept_hits = cache.hits.join(live.select("query_hash"), "query_hash", "left_semi")
-    all_hits = kept_hits.unionByName(new_hits)
-    totals = all_hits.groupBy("query_hash").agg(F.count("*").alias("total_found"))
-    # Ranked once per key; queries sharing a key share the ranked rows.
-    wanted = all_hits.join(asked.select("query_hash").distinct(), "query_hash", "left_semi")
-    blank = asked.groupBy("query_hash").agg(F.bool_and(strip("query") == "").alias("_blank"))
-    ordered = wanted.join(blank, "query_hash").withColumn(
-        "_order", F.when(F.col("_blank"), -F.col("page_id")).otherwise(F.col("page_id"))
+    shown = [c for c in cache.records.columns if c != "query_hash"]
+    old = cache.records.where(F.col("rank") <= params.limit)
+    fresh = new_records.where(F.col("rank") <= params.limit)
+    columns = ["query_id", "query_hash", "cached"]
+    listed = (
+        asked.where("cached and not blank").select(*columns).join(old, "query_hash")
+        .unionByName(asked.where("not cached and not blank").select(*columns).join(fresh, "query_hash"))
+        .select("query_id", *shown)
     )
-    order = [rank_order()[0], F.desc("_order")]
-    best = top_rows(ordered, "query_hash", order, params.limit, "rank")
-    results = (
-        asked.join(best.select("query_hash", "rank", "page_id", "score"), "query_hash")
-        .join(totals, "query_hash")
-        .select("query_id", "rank", "page_id", "score", "total_found", "cached")
+    blank = top_rows(
+        blank_hits(asked.where("blank").select(*queries.columns), index.docs, params.limit), "query_id",
+        [F.col("page_id")], params.limit, "rank")
+    listed = listed.unionByName(as_records(describe(materialize(blank, "first-pages"))).select("query_id", *shown))
+    totals = asked.join(found.join(misses.select("query_id", "query_hash"), "query_id").select(
+        "query_hash", F.col("total_found").alias("_new")), "query_hash", "left").select(
+        "query_id", F.coalesce(F.when(F.col("cached"), F.col("_total")).otherwise(F.col("_new")), F.lit(0)).alias("total_found"), "cached")
+    results = listed.join(totals, "query_id")
+    return Answers(results, totals, Cache(header, new_records))
+
+
+def merged(cache: Cache, new: Cache) -> Cache:
+    """The cache with new entries in place of those with their keys; expired ones stay until they are purged."""
+    keys = new.header.select("query_hash")
+    return Cache(
+        cache.header.join(keys, "query_hash", "left_anti").select(*cache.header.columns).unionByName(new.header),
+        cache.records.join(keys, "query_hash", "left_anti").select(*cache.records.columns).unionByName(new.records),
     )
-    stored = new_hits.select("query_hash").distinct()
-    created = misses.join(stored, "query_hash", "left_semi").select("query", "domain_filter")
-    new_header = header_rows(created, as_of, params).select(live.columns)
-    return results, Cache(live.unionByName(new_header), all_hits)

@@ -97,21 +97,24 @@ def resolved_links(extracted: DataFrame, parser: str = "native") -> DataFrame:
     return linked.where(is_web_url("link"))
 
 
+def _web_links() -> Column:
+    return F.array_distinct(F.filter("_links", lambda link: is_web_url(link)))
+
+
 def page_outlinks(extracted: DataFrame, allowed: Column | None = None) -> DataFrame:
     """Distinct links of each page in document order: page_id, url, pos, link.
 
     The links of one page are one array, so duplicates go inside the row and
     nothing is shuffled. ``allowed`` filters a column named ``link``.
     """
-    links = F.array_distinct(F.filter("_links", lambda link: is_web_url(link)))
     rows = _with_links(extracted, "_links").select(
-        "page_id", "url", F.posexplode(links).alias("pos", "link")
+        "page_id", "url", F.posexplode(_web_links()).alias("pos", "link")
     )
     return rows if allowed is None else rows.where(allowed)
 
 
 def page_records(pages: DataFrame, parser: str = "auto", links: bool = True) -> DataFrame:
-    """Raw pages to full page records.
+    """Raw pages to full page records, with ``links``: the distinct web links in document order.
 
     Only pages fetched with status 200 become records; a table without a
     ``status_code`` column holds successful fetches only.
@@ -120,4 +123,5 @@ def page_records(pages: DataFrame, parser: str = "auto", links: bool = True) ->
         fetched = pages.where(F.col("status_code") == 200)
     else:
         fetched = pages.withColumn("status_code", F.lit(200))
-    return extract_text(fetched, parser, links).withColumn("domain", extract_domain("url"))
+    records = extract_text(fetched, parser, links).withColumn("domain", extract_domain("url"))
+    return _with_links(records, "_links").withColumn("links", _web_links()).drop("_links") if links else records

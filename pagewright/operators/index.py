@@ -1,21 +1,26 @@
 """The TF-IDF index.
 
-Terms are counted inside their page's row, so text is never shuffled. What is:
-term counts, combined on the map side and on large corpora pruned to pairs of
-frequent words; then the postings inside the vocabulary, for the row norm.
+Terms are counted and weighed inside their page's row, so text is never
+shuffled. What is: term counts, combined on the map side and without pairs of
+rare words; when an index is stored, the postings, once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import (
     bigrams,
+    computed,
     tokens,
     weighted_text,
+    with_count_arrays,
     with_counts,
     with_words,
     words_and_pairs,
@@ -23,8 +28,9 @@ from pagewright.functions.text import (
 from pagewright.functions.urls import fill_domain
 from pagewright.params import IndexParams
 from pagewright.session import materialize, work_path
+from pagewright.sources.files import delete, finished, numbered
 
-# Terms up to this many rows are joined by broadcast.
+_FILTER_BITS = 1 << 23  # at most so many bits, a megabyte, travel with the tasks
 
 
 def index_docs(pages: DataFrame) -> DataFrame:
@@ -77,27 +83,50 @@ def doc_freq(docs: DataFrame, params: IndexParams) -> DataFrame:
     return _within_bounds(_document_counts(term_freq(docs, params)), docs, params)
 
 
+def _word_filter(words: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for all of ``words(term)`` and for few others.
+
+    Each word sets a bit by its hash; there are at least 64 bits for a word, up
+    to the size that tasks may carry. The bits are a constant of the plan.
+    """
+    n = words.count()
+    bits = min(_FILTER_BITS, max(1 << 12, 1 << (64 * n).bit_length()))
+    at = F.pmod(F.xxhash64("term"), F.lit(bits))
+    mask = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    rows = words.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(mask).alias("mask")).collect()
+    cells = [0] * (bits // 64)
+    for row in rows:
+        cells[row["cell"]] = row["mask"]
+    table = F.from_json(F.lit(json.dumps(cells)), "array<bigint>")
+
+    def holds(word: Column) -> Column:
+        place = F.pmod(F.xxhash64(word), F.lit(bits))
+        cell = F.get(table, F.shiftright(place, 6).cast("int"))
+        return F.getbit(cell, place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return holds
+
+
 def frequent_terms(docs: DataFrame, params: IndexParams) -> DataFrame:
     """``doc_freq`` without word pairs that cannot enter the vocabulary.
 
     A pair is no more frequent than either of its words. So once the
     ``max_features``-th most frequent word is known, only pairs of words at
     least as frequent can enter, and the long tail of pairs, most of all terms,
-    is dropped before it is counted. With fewer words than that, none is.
+    is dropped inside the page's row. With fewer words than that, none is. The
+    test may let a pair pass that cannot enter; it is counted like the others.
     """
     words = doc_words(docs, params)
     single = materialize(
         _document_counts(with_counts(words, F.col("words"), "page_id")), "word-counts"
     )
     allowed = _within_bounds(single, docs, params)
-    double = with_counts(words, bigrams("words"), "page_id")
     weakest = vocabulary(allowed, params).agg(F.count("*").alias("n"), F.min("cf").alias("cf")).first()
     if weakest.n == params.max_features:
-        strong = single.where(F.col("cf") >= weakest.cf).select("term")
-        for position in (1, -1):
-            word = strong.select(F.col("term").alias("_w"))
-            here = F.substring_index("term", " ", position) == F.col("_w")
-            double = double.join(word, here, "left_semi")
+        holds = _word_filter(single.where(F.col("cf") >= weakest.cf).select("term"))
+        words = words.select("page_id", F.transform("words", lambda w: F.when(holds(w), w)).alias("words"))
+    pairs = F.filter(bigrams("words"), lambda pair: pair.isNotNull())
+    double = with_counts(words, pairs, "page_id")
     return allowed.unionByName(_within_bounds(_document_counts(double), docs, params))
 
 
@@ -125,28 +154,58 @@ def with_idf(vocab: DataFrame, docs: DataFrame) -> DataFrame:
     return vocab.withColumn("idf", F.log((1 + n_docs.scalar()) / (1 + F.col("df"))) + 1)
 
 
-def weigh(tf: DataFrame, idf: DataFrame, params: IndexParams, row_id: str) -> DataFrame:
-    """Term counts to L2-normalised TF-IDF weights, one unit vector per row.
+def _term_weights(vocab: DataFrame) -> Callable[[Column], Column]:
+    """A look-up of a term's idf, null for terms outside the vocabulary.
+
+    The vocabulary, which ``max_features`` bounds, becomes a hash table that is a
+    constant of the plan: a page's terms are weighed where they are counted.
+    """
+    rows = vocab.select("term", "idf", F.xxhash64("term").alias("hash")).collect()
+    slots = 1 << max(4, (2 * len(rows)).bit_length())
+    cells: list[list[dict]] = [[] for _ in range(slots)]
+    for row in rows:
+        cells[row["hash"] % slots].append({"t": row["term"], "w": row["idf"]})
+    table = F.from_json(F.lit(json.dumps(cells, ensure_ascii=False)), "array<array<struct<t:string,w:double>>>")
+
+    def idf(term: Column) -> Column:
+        cell = F.get(table, F.pmod(F.xxhash64(term), F.lit(slots)).cast("int"))
+        return F.get(F.filter(cell, lambda entry: entry["t"] == term), F.lit(0))["w"]
+
+    return idf
+
+
+def weigh(words: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, term, tf, weight: L2-normalised TF-IDF weights of each row's words.
 
-    The window holds the terms of one page or query at a time.
+    ``words`` has ``keep`` and the array ``words``. A row's terms are filtered,
+    counted, weighed and normalised inside the row.
     """
-    raw = tf.join(idf.select("term", "idf"), "term")
-    raw = raw.withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row_id)))
-    return raw.withColumn("weight", F.col("_w") / norm).drop("_w", "idf")
+    idf = _term_weights(vocab)
+    known = F.filter(words_and_pairs("words"), lambda term: idf(term).isNotNull())
+    counted = with_count_arrays(words, known, *keep)
+    raw = counted.select(*keep, F.transform("counts", lambda c: F.struct(
+        c["term"].alias("term"), c["tf"].alias("tf"), (c["tf"] * idf(c["term"])).alias("w"))).alias("_raw"))
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, c: total + c["w"] * c["w"]))
+    normed = raw.select(*keep, "_raw", norm.alias("_norm"))
+    return normed.select(*keep, "_norm", F.explode(computed("_raw")).alias("_c")).select(
+        *keep, "_c.term", "_c.tf", (F.col("_c.w") / F.col("_norm")).alias("weight"))
 
 
 @dataclass(frozen=True)
 class Index:
     """docs: page_id, url, title, content, domain. vocab: term, df, cf, idf.
-    postings: page_id, domain, term, tf, weight; ``stored`` when sorted by term on
-    disk."""
+    postings: page_id, domain, term, tf, weight.
+
+    A stored index was read from ``path``. Its postings are in shards by page
+    and, inside, in ``domain_parts`` folders by domain.
+    """
 
     docs: DataFrame
     vocab: DataFrame
     postings: DataFrame
     params: IndexParams
-    stored: bool = False
+    path: str | None = None
+    domain_parts: int = 0
 
 
 def build_index(pages: DataFrame, params: IndexParams = IndexParams()) -> Index:
@@ -160,23 +219,62 @@ def build_index(pages: DataFrame, params: IndexParams = IndexParams()) -> Index:
     docs = index_docs(pages)
     top = vocabulary(frequent_terms(docs, params), params)
     vocab = materialize(with_idf(top, docs), "vocabulary")
-    postings = weigh(term_freq(docs, params, "domain"), vocab, params, "page_id")
-    return Index(docs, vocab, postings.select("page_id", "domain", "term", "tf", "weight"), params)
+    return Index(docs, vocab, weigh(doc_words(docs, params, "domain"), vocab, "page_id", "domain"), params)
+
+
+_POSTINGS = "page_id BIGINT, domain STRING, term STRING, tf BIGINT, weight DOUBLE, domain_part INT"
+
+
+def domain_part(domain: Column, parts: int) -> Column:
+    """The folder of a domain's postings."""
+    return F.pmod(F.xxhash64(F.coalesce(domain, F.lit(""))), F.lit(parts)).cast("int")
 
 
-def store_index(index: Index, path: str | None = None) -> Index:
-    """Write the postings sorted by term and return the index that reads them.
+def store_index(index: Index, path: str | None = None, shards: int | None = None, domain_parts: int = 8) -> Index:
+    """Store an index under ``path``, from which ``open_index`` reads it, and open it.
 
-    Range partitioning by (term, page_id) cuts a frequent term into several
-    files, and sorted files let a search skip row groups without its terms.
+    Postings are dealt into ``shards`` by page, so that a search adds up a
+    page's score where its postings are, and in each shard into folders by
+    domain, sorted by term. A store is a version of its own, read once it is
+    complete; the version before it stays for searches that still read it, older
+    ones go.
     """
-    spark = index.postings.sparkSession
-    path = path or work_path(spark, "postings")
-    index.postings.repartitionByRange("term", "page_id").sortWithinPartitions(
-        "term", "page_id"
-    ).write.mode("overwrite").parquet(path)
-    stored = spark.read.schema(index.postings.schema).parquet(path)
-    return Index(index.docs, index.vocab, stored, index.params, stored=True)
+    spark = index.vocab.sparkSession
+    path = path or work_path(spark, "index")
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = max(finished(spark, path, "version=*/meta"), default=0) + 1
+    folder, table = f"{path}/version={number}", f"pagewright_{uuid.uuid4().hex}"
+    index.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+    index.vocab.write.mode("overwrite").parquet(f"{folder}/vocab")
+    dealt = index.postings.select(
+        F.col("page_id").cast("long").alias("page_id"), "domain", "term", "tf", "weight",
+        domain_part(F.col("domain"), domain_parts).alias("domain_part")).repartition(shards, "page_id")
+    (dealt.write.mode("overwrite").partitionBy("domain_part").bucketBy(shards, "page_id").sortBy("term")
+     .option("path", f"{folder}/postings").saveAsTable(table))
+    spark.sql(f"DROP TABLE {table}")
+    meta = {"shards": shards, "domain_parts": domain_parts, "params": asdict(index.params)}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
+    for old in numbered(spark, path, "version=*"):
+        if old < number - 1:
+            delete(spark, f"{path}/version={old}")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The newest complete index under ``path``."""
+    versions = finished(spark, path, "version=*/meta")
+    if not versions:
+        raise FileNotFoundError(f"no complete index under {path}")
+    folder, table = f"{path}/version={versions[-1]}", f"pagewright_{uuid.uuid4().hex}"
+    meta = json.loads(spark.read.text(f"{folder}/meta").first()[0])
+    stop = meta["params"]["stop_words"]
+    params = IndexParams(**meta["params"] | {"stop_words": None if stop is None else tuple(stop)})
+    place = f"{folder}/postings".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} ({_POSTINGS}) USING parquet PARTITIONED BY (domain_part) "
+              f"CLUSTERED BY (page_id) SORTED BY (term) INTO {meta['shards']} BUCKETS LOCATION '{place}'")
+    spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    return Index(spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/vocab"), spark.table(table),
+                 params, path, meta["domain_parts"])
 
 
 def index_summary(index: Index) -> DataFrame:

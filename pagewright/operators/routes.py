@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,43 +11,35 @@ from pagewright.session import materialize
 def page_routes(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """page_id and route (array of url, title; root first) of every page.
 
-    All walks take one step per round: an equi-join of the current heads with
-    the pages they point to. A walk ends at a page without parent, at a parent
-    the table lacks, or where it would enter a page twice. Only unfinished
-    walks go into the next round. ``wanted`` (page_id) limits the walks to the
+    A way ends at a page without parent, at a parent the table lacks, or where
+    it would enter a page twice. ``wanted`` (page_id) limits the ways to the
     pages a result needs.
+
+    Ways double: when the pages up to 2^k steps away are known, those of these
+    pages that lie 2^k steps further are one join with the table of jumps over
+    2^k parents, which is then joined with itself. A way of n pages takes
+    log2(n) rounds. A page is kept at its first, smallest distance; a way that
+    only meets pages it has is complete.
     """
-    nodes = pages.select("page_id", "url", "title", "parent_url")
-    starts = nodes if wanted is None else nodes.join(wanted.select("page_id"), "page_id", "left_semi")
-    walk = starts.select(
-        "page_id",
-        F.array("page_id").alias("_seen"),
-        F.array(F.struct("url", "title")).alias("route"),
-        F.nullif("parent_url", F.lit("")).alias("_up"),
-    )
-    parents = nodes.select(
-        F.col("page_id").alias("_id"),
-        F.struct("url", "title").alias("_step"),
-        F.col("url").alias("_up"),
-        F.nullif("parent_url", F.lit("")).alias("_next"),
-    )
-    finished = [walk.where(F.col("_up").isNull()).select("page_id", "route")]
-    active = walk.where(F.col("_up").isNotNull())
-    round_no = 0
+    nodes = pages.select("page_id", "url", "title", F.nullif("parent_url", F.lit("")).alias("parent_url"))
+    parents = nodes.select(F.col("page_id").alias("up"), F.col("url").alias("parent_url"))
+    jumps = materialize(nodes.select("page_id", "parent_url").join(parents, "parent_url").select("page_id", "up"), "jumps-0")
+    starts = nodes.select("page_id") if wanted is None else nodes.select("page_id").join(wanted.select("page_id"), "page_id", "left_semi")
+    ways = materialize(starts.select("page_id", F.col("page_id").alias("at"), F.lit(0).cast("long").alias("steps")), "ways-0")
+    met, length = ways.count(), 1
     while True:
-        stepped = active.join(parents, "_up", "left")
-        moves = F.col("_id").isNotNull() & ~F.array_contains("_seen", F.col("_id"))
-        moved = materialize(
-            stepped.select(
-                "page_id",
-                F.when(moves, F.array_append("_seen", F.col("_id"))).otherwise(F.col("_seen")).alias("_seen"),
-                F.when(moves, F.array_prepend("route", F.col("_step"))).otherwise(F.col("route")).alias("route"),
-                F.when(moves, F.col("_next")).alias("_up"),
-            ),
-            f"routes-{round_no}",
-        )
-        finished.append(moved.where(F.col("_up").isNull()).select("page_id", "route"))
-        active = moved.where(F.col("_up").isNotNull())
-        round_no += 1
-        if active.isEmpty():
-            return reduce(DataFrame.unionByName, finished)
+        over = jumps.withColumnRenamed("page_id", "at")
+        further = ways.join(over, "at").select("page_id", F.col("up").alias("at"), (F.col("steps") + length).alias("steps"))
+        grown = materialize(
+            ways.unionByName(further).groupBy("page_id", "at").agg(F.min("steps").alias("steps")), f"ways-{2 * length}")
+        now = grown.count()
+        if now == met:
+            break
+        ways, met = grown, now
+        again = jumps.select(F.col("page_id").alias("up"), F.col("up").alias("_next"))
+        jumps = materialize(jumps.join(again, "up").select("page_id", F.col("_next").alias("up")), f"jumps-{2 * length}")
+        length *= 2
+    steps = ways.join(nodes.select(F.col("page_id").alias("at"), "url", "title"), "at")
+    way = F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("order"), "url", "title")))
+    routes = steps.groupBy("page_id").agg(way.alias("_way"))
+    return routes.select("page_id", F.transform("_way", lambda step: F.struct(step["url"].alias("url"), step["title"].alias("title"))).alias("route"))

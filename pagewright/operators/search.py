@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import snippet, strip, with_counts, with_words, words_and_pairs
-from pagewright.operators.index import Index, weigh
+from pagewright.functions.text import snippet, strip, with_words
+from pagewright.operators.index import Index, domain_part, weigh
 from pagewright.params import SearchParams
 from pagewright.session import materialize
 
 _SALTS = 64
+_SLICE_ROWS = 100_000  # terms of queries, some megabytes, that are sent to all tasks at once
 
 
 def with_filter_key(queries: DataFrame) -> DataFrame:
@@ -28,34 +29,52 @@ def query_vectors(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, key, term, tf, weight; unknown terms and stop words drop out."""
     asked = with_filter_key(queries).where(~F.col("blank"))
     words = with_words(asked, F.col("query"), index.params.stop_list(), "query_id", "key")
-    counts = with_counts(words, words_and_pairs("words"), "query_id", "key")
-    return weigh(counts, index.vocab, index.params, "query_id").select(
-        "query_id", "key", "term", "tf", "weight"
+    return weigh(words, index.vocab, "query_id", "key")
+
+
+def _scores(postings: DataFrame, vectors: DataFrame, domains: bool) -> DataFrame:
+    d, q = postings.alias("d"), vectors.alias("q")
+    same = F.col("d.term") == F.col("q.term")
+    if domains:
+        same = same & (F.col("d.domain") == F.col("q.key"))
+    return d.join(q, same).groupBy("q.query_id", "d.page_id").agg(
+        F.sum(F.col("d.weight") * F.col("q.weight")).alias("score")
     )
 
 
-def cosine_scores(postings: DataFrame, vectors: DataFrame) -> DataFrame:
+def cosine_scores(postings: DataFrame, vectors: DataFrame, index: Index | None = None) -> DataFrame:
     """query_id, page_id, score of every pair that shares a term.
 
-    Both sides are unit vectors, so the sum of products is the cosine. The
-    domain filter is part of the join, before any score is computed.
+    Both sides are unit vectors, so the sum of products is the cosine. Queries
+    within a domain are joined by term and domain. Of a stored ``index`` they
+    read only the folders that hold their domains.
     """
-    d, q = postings.alias("d"), vectors.alias("q")
-    in_domain = (F.col("q.key") == "all") | (F.col("q.key") == F.col("d.domain"))
-    pairs = d.join(q, (F.col("d.term") == F.col("q.term")) & in_domain)
-    return pairs.groupBy("q.query_id", "d.page_id").agg(
-        F.sum(F.col("d.weight") * F.col("q.weight")).alias("score")
-    )
+    inside = vectors.where(F.col("key") != "all")
+    found = postings
+    if index is not None and index.domain_parts:
+        part = domain_part(F.col("key"), index.domain_parts)
+        # At most as many rows as an index has folders.
+        parts = [r[0] for r in inside.select(part).distinct().collect()]
+        found = postings.where(F.col("domain_part").isin(parts))
+    everywhere = _scores(postings, vectors.where(F.col("key") == "all"), domains=False)
+    return everywhere.unionByName(_scores(found, inside, domains=True))
 
 
 def keyword_hits(queries: DataFrame, index: Index, params: SearchParams) -> DataFrame:
     """All hits of the non-blank queries above the threshold.
 
-    The query vectors are written first: with their size known, Spark decides
-    before it touches the postings whether to broadcast them.
+    The query vectors are written first and go to the postings in slices of
+    bounded size: so postings stay where they are, and in a stored index, whose
+    shards hold whole pages, scores are complete before anything moves.
     """
     vectors = materialize(query_vectors(queries, index), "query-vectors")
-    return cosine_scores(index.postings, vectors).where(F.col("score") > params.threshold)
+    slices = -(-vectors.count() // _SLICE_ROWS)
+    hits = None
+    for k in range(max(slices, 1)):
+        mine = vectors if slices <= 1 else vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == k)
+        scores = cosine_scores(index.postings, F.broadcast(mine), index).where(F.col("score") > params.threshold)
+        hits = scores if hits is None else hits.unionByName(scores)
+    return hits
 
 
 def _docs_by_key(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -82,9 +101,10 @@ def blank_hits(queries: DataFrame, docs: DataFrame, limit: int | None) -> DataFr
 def top_rows(df: DataFrame, group: str, order: list[Column], limit: int, name: str) -> DataFrame:
     """The first ``limit`` rows of each group, numbered from one.
 
-    The group is cut in salted parts first, so no task holds a whole group.
+    The group is cut in parts by task first, so no later task holds a whole
+    group; of each only its first rows leave the task.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
     part = Window.partitionBy(group, "_salt").orderBy(*order)
     salted = salted.withColumn("_part", F.row_number().over(part))
     df = salted.where(F.col("_part") <= limit).drop("_salt", "_part")
@@ -157,7 +177,11 @@ def search_results(
     page ids to their routes, so only the pages shown are walked.
     """
     ranked = materialize(ranked_hits(queries, index, params), "hits")
-    shown = describe_hits(ranked, index.docs, params)
+    return with_route_and_time(describe_hits(ranked, index.docs, params), ranked, pages, routes)
+
+
+def with_route_and_time(shown: DataFrame, ranked: DataFrame, pages: DataFrame, routes) -> DataFrame:
+    """Adds ``route`` and ``last_crawled`` to described hits."""
     ways = routes(ranked.select("page_id").distinct())
     times = pages.select("page_id", F.col("crawl_time").alias("last_crawled"))
     return shown.join(ways, "page_id", "left").join(times, "page_id", "left")

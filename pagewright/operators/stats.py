@@ -34,46 +34,70 @@ def counts(pages: DataFrame, history: DataFrame, cache: DataFrame, as_of: Column
     )
 
 
+def page_summary(pages: DataFrame) -> DataFrame:
+    """domain, pages, last_crawl: partial statistics, which add up over parts of a table."""
+    return pages.groupBy("domain").agg(F.count("*").alias("pages"), F.max("crawl_time").alias("last_crawl"))
+
+
 def stats(
     pages: DataFrame,
     history: DataFrame,
     cache: DataFrame,
     vocab: DataFrame,
     as_of: Column,
-    status: str = "idle",
+    status: str | DataFrame = "idle",
     size_bytes: int | None = None,
 ) -> DataFrame:
-    """The whole statistics record as rows: metric, key, value.
+    """The whole statistics record as rows: metric, key, value. See ``stats_of_summary``."""
+    return stats_of_summary(page_summary(pages), history, cache, vocab, as_of, status, size_bytes)
 
-    The per-domain counts are rows of metric ``domain_stats`` keyed by domain,
-    so the record stays distributed whatever the number of domains. ``status``
-    is the state of the crawl, laid over the stored figures.
-    """
-    single = counts(pages, history, cache, as_of).select(
-        "metric", F.lit("").alias("key"), F.col("value").cast("string").alias("value")
-    )
 
+def stats_of_summary(
+    summary: DataFrame,
+    history: DataFrame,
+    cache: DataFrame,
+    vocab: DataFrame,
+    as_of: Column,
+    status: str | DataFrame = "idle",
+    size_bytes: int | None = None,
+) -> DataFrame:
+    """The statistics record from partial page statistics (domain, pages, last_crawl), several a domain or not.
+
+    Domains and their counts are rows of metrics ``domains`` and
+    ``domain_stats``, so the record stays distributed whatever their number.
+    ``status`` is the state of the crawl, or a table with it, see
+    ``overall_status``. A page table keeps its summary: then no page is read,
+    only counts of the history and of the vocabulary and the cache's times.
+    """
     def row(df: DataFrame, name: str, value: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("metric"), F.lit("").alias("key"), value.alias("value"))
+        return df.select(F.lit(name).alias("metric"), F.lit("").alias("key"), value.cast("string").alias("value"))
 
-    fixed = pages.sparkSession.range(1)
-    last_crawl = pages.agg(F.max("crawl_time").alias("last"))
+    fixed = summary.sparkSession.range(1)
+    whole = summary.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n"), F.max("last_crawl").alias("last"))
+    totals = summary.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.sum("pages").alias("pages"))
+    per_domain = totals.orderBy(F.desc("pages"), "domain")
+    state = fixed.select(F.lit(status).alias("status")) if isinstance(status, str) else status
     parts = [
-        single,
-        row(last_crawl, "last_crawl", iso_time("last")),
-        row(vocab.agg(F.count("*").alias("terms")), "index_size", F.col("terms").cast("string")),
-        row(fixed, "crawl_status", F.lit(status)),
-        domain_stats(pages.where(F.col("domain").isNotNull())).select(
-            F.lit("domain_stats").alias("metric"),
-            F.col("domain").alias("key"),
-            F.col("pages").cast("string").alias("value"),
-        ),
+        row(whole, "total_pages", F.col("n")),
+        row(history.agg(F.count("*").alias("n")), "total_searches", F.col("n")),
+        row(cache.agg(F.count_if(F.col("expires_at") > as_of).alias("n")), "cached_queries", F.col("n")),
+        row(whole, "last_crawl", iso_time("last")),
+        row(vocab.agg(F.count("*").alias("terms")), "index_size", F.col("terms")),
+        row(state, "crawl_status", F.col("status")),
+        totals.orderBy("domain").select(F.lit("domains").alias("metric"), F.col("domain").alias("key"), F.col("domain").alias("value")),
+        per_domain.select(F.lit("domain_stats").alias("metric"), F.col("domain").alias("key"), F.col("pages").cast("string").alias("value")),
     ]
     if size_bytes is not None:
         parts.append(row(fixed, "database_size", size_mb(F.lit(size_bytes))))
     return reduce(DataFrame.unionByName, parts)
 
 
+def overall_status(crawls: DataFrame) -> DataFrame:
+    """One row, ``status``: crawling while a crawl runs, else completed once one has pages, else idle."""
+    return crawls.agg(
+        F.when(F.bool_or("is_crawling"), "crawling").when(F.sum("pages_crawled") > 0, "completed").otherwise("idle").alias("status"))
+
+
 def crawl_status(crawls: DataFrame) -> DataFrame:
     """Progress of crawls.
 

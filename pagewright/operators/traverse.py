@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.urls import in_allowed_domains, is_web_url
 from pagewright.operators.ordinals import global_ordinal
 from pagewright.params import CrawlParams
-from pagewright.session import materialize
+from pagewright.session import bucketed, forget
 
 
 def seed_frontier(seeds: DataFrame, params: CrawlParams) -> DataFrame:
@@ -46,37 +46,41 @@ def _first_discovery(frontier: DataFrame) -> DataFrame:
 def bfs(seeds: DataFrame, corpus: DataFrame, links: DataFrame, params: CrawlParams) -> DataFrame:
     """All visited URLs: url, depth, parent_url, path, fetched.
 
-    ``corpus`` has a unique ``url``; ``links`` has url, pos, link. Levels are
-    written to the shared folder, which cuts the lineage and gives each next
-    level sized inputs. Stops early once the page budget is met: later levels
-    come after it in crawl order.
+    ``corpus`` has a unique ``url``; ``links`` has url, pos, link. Links, the
+    corpus's urls and each level are written once, in buckets by url: what moves
+    at a level are only the links that lead out of it. Stops early once the page
+    budget is met: later levels come after it in crawl order.
     """
-    known = corpus.select("url")
+    spark = corpus.sparkSession
+    allowed = is_web_url("link") & in_allowed_domains("link", params.allowed_domains)
+    out, _, out_name = bucketed(links.where(allowed).select("url", "link", "pos"), "url", "bfs-links")
+    known, _, known_name = bucketed(corpus.select("url"), "url", "bfs-urls")
     level = _first_discovery(seed_frontier(seeds, params))
-    visited: DataFrame | None = None
+    levels, paths, names = [], [], [out_name, known_name]
     fetched_pages = 0
     for depth in range(params.max_depth + 1):
-        if visited is not None:
-            level = level.join(visited.select("url"), "url", "left_anti")
-        fetched = level.join(known.withColumn("fetched", F.lit(True)), "url", "left")
-        done = materialize(fetched.fillna(False, ["fetched"]), f"bfs-level-{depth}")
-        visited = done if visited is None else visited.unionByName(done)
+        for earlier in levels:
+            level = level.join(earlier.select("url"), "url", "left_anti")
+        fetched = level.join(known.withColumn("fetched", F.lit(True)), "url", "left").fillna(False, ["fetched"])
+        done, path, name = bucketed(fetched, "url", f"bfs-level-{depth}")
+        levels.append(done)
+        paths.append(path)
+        names.append(name)
         found = done.agg(F.count("*"), F.count_if("fetched")).first()
         fetched_pages += found[1]
         budget_met = params.max_pages is not None and fetched_pages >= params.max_pages
         if found[1] == 0 or budget_met or depth == params.max_depth:
             break
-        parents = done.where("fetched").select(F.col("url").alias("parent_url"), "path")
-        out = links.select(F.col("url").alias("parent_url"), "link", "pos")
-        allowed = is_web_url("link") & in_allowed_domains("link", params.allowed_domains)
-        frontier = parents.join(out.where(allowed), "parent_url").select(
+        parents = done.where("fetched").select("url", "path")
+        frontier = parents.join(out, "url").select(
             F.col("link").alias("url"),
             F.lit(depth + 1).alias("depth"),
-            "parent_url",
+            F.col("url").alias("parent_url"),
             F.array_append("path", F.col("pos").cast("long")).alias("path"),
         )
         level = _first_discovery(frontier)
-    return visited
+    forget(spark, names)
+    return spark.read.schema(levels[0].schema).parquet(*paths)
 
 
 def crawl_order() -> list[Column]:

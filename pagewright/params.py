@@ -56,9 +56,10 @@ class IndexParams(_FromMapping):
 
 @dataclass(frozen=True)
 class SearchParams(_FromMapping):
-    """Ranking rules of a search batch."""
+    """Ranking rules of a search batch. A cache entry holds ``cache_rows`` records, or ``limit`` where that is more."""
 
     limit: int = 10
     threshold: float = 0.001
     snippet_chars: int = 200
     cache_ttl_seconds: int = 3600
+    cache_rows: int = 100

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.urls import extract_domain
 from pagewright.operators.dfs import crawl_dfs
 from pagewright.operators.extract import extract_text, page_outlinks, page_records
+from pagewright.operators.links import filter_allowed, page_links
 from pagewright.operators.traverse import crawl_bfs
 from pagewright.params import CrawlParams
 from pagewright.session import materialize
-from pagewright.sources.tables import read_snapshot, scan_pages, upsert_pages, write_snapshot
+from pagewright.sources.buckets import BucketTable, create_buckets, open_buckets
+from pagewright.sources.tables import scan_pages, upsert_pages
 
 PAGE_COLUMNS = [
     "page_id", "url", "title", "content", "domain", "crawl_time", "depth", "parent_url",
@@ -38,28 +41,73 @@ def crawl(
     params: CrawlParams,
     links: DataFrame | None = None,
     parser: str = "auto",
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """Page records of a crawl: the page columns plus crawl_order.
 
     Text is extracted only for the pages the crawl reaches. ``links`` defaults
-    to those found in the pages.
+    to those found in the pages. ``allowed`` (domain) is an allow list too long
+    for the parameters.
     """
     raw = raw_pages if "crawl_time" in raw_pages.columns else raw_pages.withColumn(
         "crawl_time", F.current_timestamp().cast("timestamp_ntz")
     )
-    found = materialize(corpus_links(raw, parser), "links") if links is None else links
+    found = corpus_links(raw, parser) if links is None else links
+    if allowed is not None:
+        seeds, found = filter_allowed(seeds, "url", allowed), filter_allowed(found, "link", allowed)
+    if links is None or allowed is not None:
+        found = materialize(found, "links")
     reached = materialize(traverse(seeds, scan_pages(raw), found, params), "crawl")
     fetched = raw.select("page_id", "url", "html", "crawl_time").join(reached, "url")
     return page_records(fetched, parser, links=False)
 
 
+_PAGE_SCHEMA = (
+    "page_id long, url string, title string, content string, domain string, crawl_time timestamp_ntz, depth int, "
+    "parent_url string, status_code int, created_at timestamp_ntz, updated_at timestamp_ntz"
+)
+_LINK_SCHEMA = "from_page_id long, to_page_id long"
+SUMMARY = "domain string, pages long, last_crawl timestamp_ntz"
+
+
+def page_table(spark: SparkSession, path: str, buckets: int = 256, spread: int = 16) -> BucketTable:
+    """The page table at ``path``, made where there is none yet.
+
+    Buckets go by site, ``spread`` of them for each, and in a site by url. So a
+    crawl of some sites touches their buckets only, and a large site is split.
+    """
+    try:
+        return open_buckets(spark, path)
+    except FileNotFoundError:
+        return create_buckets(spark, path, _PAGE_SCHEMA, "url", buckets, "domain", spread)
+
+
+def summarise(pages: DataFrame) -> DataFrame:
+    """Page counts and last crawls by bucket and domain, which add up over buckets."""
+    return pages.groupBy("bucket", "domain").agg(F.count("*").alias("pages"), F.max("crawl_time").alias("last_crawl"))
+
+
 def store_crawl(results: DataFrame, table: str, now: Column) -> DataFrame:
-    """Upsert crawl results into the page table at ``table`` and read it back."""
+    """Upsert crawl results into the page table at ``table`` and read it back.
+
+    Only the buckets of the results' urls are read and written. The links along
+    which pages were found go to the link table beside it, see ``link_table``.
+    """
     spark = results.sparkSession
-    batch = results.withColumn("created_at", now).withColumn("updated_at", now)
+    stored = page_table(spark, table)
+    batch = materialize(results.withColumn("domain", extract_domain("url")), "crawl-results")
+    stored = stored.update(batch, lambda old, new: upsert_pages(old, new, "crawl_order", now), summarise)
+    pages = stored.read()
+    ids = batch.select("url", "parent_url").join(pages.select("page_id", "url"), "url")
+    found = materialize(page_links(ids, pages), "found-links")
+    links = link_table(spark, table)
+    links.update(found, lambda old, new: old.unionByName(new.select(*old.columns)).distinct())
+    return pages
+
+
+def link_table(spark: SparkSession, table: str, buckets: int = 64) -> BucketTable:
+    """Discovery links (from_page_id, to_page_id) of the page table at ``table``, each once."""
     try:
-        base = read_snapshot(spark, table)
+        return open_buckets(spark, f"{table}/links")
     except FileNotFoundError:
-        base = batch.select(PAGE_COLUMNS).limit(0)
-    write_snapshot(upsert_pages(base, batch, "crawl_order", now), table)
-    return read_snapshot(spark, table)
+        return create_buckets(spark, f"{table}/links", _LINK_SCHEMA, "to_page_id", buckets)

@@ -4,7 +4,7 @@ from pagewright.operators.history import history_view
 from pagewright.operators.index import build_index
 from pagewright.params import SearchParams
 from pagewright.plans import serve
-from pagewright.sources.tables import read_snapshot
+from pagewright.sources.buckets import open_buckets
 from pagewright.streaming.ingest import ingest
 from tests.test_search import PAGES, QUERIES, SCHEMA
 
@@ -31,8 +31,29 @@ def test_serve_keeps_cache_and_history(spark, tmp_path):
     history = spark.read.parquet(f"{root}/history")
     assert history.count() == 9 and history.select("id").distinct().count() == 9
     assert history_view(history, 3).where("NOT cached").count() == 3
+    assert serve.load_cache(spark, root).header.count() == 2
+    last = history.orderBy(F.desc("id")).limit(1)
+    serve.delete_history(spark, root, last)
+    assert serve.load_history(spark, root).count() == 8 and serve.load_history(spark, root).join(last, "id", "left_semi").isEmpty()
+    serve.delete_history(spark, root)
+    assert serve.load_history(spark, root).isEmpty()
+    assert serve.purge_cache(spark, root, at("2024-01-01 00:59:00")) == 0
+    assert serve.purge_cache(spark, root, at("2024-01-01 01:00:00")) == 2
+    serve.serve(asked, index, root, at("2024-01-01 02:00:00"))
     assert serve.clear_cache(spark, root) == 2
-    assert serve.load_cache(spark, root).header.isEmpty()
+    assert serve.load_cache(spark, root).header.isEmpty() and serve.load_cache(spark, root).records.isEmpty()
+
+
+def test_serve_gives_routes_and_crawl_times(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, SCHEMA).withColumn("crawl_time", at("2024-01-01 00:00:00")).withColumn(
+        "parent_url", F.when(F.col("page_id") == 2, PAGES[0][1]))
+    index = build_index(pages)
+    asked = spark.createDataFrame([(1, "river trips", None), (2, "", "charts.example")], QUERIES)
+    for day in ("2024-02-01 00:00:00", "2024-02-01 00:01:00"):
+        found, summary = serve.serve(asked, index, str(tmp_path / "state"), at(day), pages=pages)
+        got = {r.query_id: (r.page_id, [s.url for s in r.route], str(r.last_crawled)[:10]) for r in found.collect()}
+        assert got == {1: (2, [PAGES[0][1], PAGES[1][1]], "2024-01-01"), 2: (3, [PAGES[2][1]], "2024-01-01")}
+    assert summary.where("cached").count() == 2
 
 
 def test_stream_upserts_arriving_pages(spark, tmp_path):
@@ -49,5 +70,5 @@ def test_stream_upserts_arriving_pages(spark, tmp_path):
 
     arrive((1, "http://a.x/1", "<title>One</title>", 200, "2024-01-01"), (2, "http://a.x/2", "", 404, "2024-01-01"))
     arrive((1, "http://a.x/1", "<title>New</title>", 200, "2024-01-03"), (1, "http://a.x/1", "<title>Mid</title>", 200, "2024-01-02"))
-    rows = read_snapshot(spark, table).collect()
+    rows = open_buckets(spark, table).read().collect()
     assert [(r.url, r.title, r.domain) for r in rows] == [("http://a.x/1", "New", "a.x")]

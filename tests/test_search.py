@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import index as ix
 from pagewright.operators import search as se
-from pagewright.operators.cache import Cache, search_cached
+from pagewright.operators.cache import empty_cache, merged, search_cached
 from pagewright.params import IndexParams, SearchParams, default_stop_words
 
 PAGES = [
@@ -107,31 +107,106 @@ def test_large_limits_take_the_salted_way(spark):
     assert small.agg(F.min("v")).first()[0] == 5000 - 2400
 
 
-def test_stored_index_gives_the_same_results(spark, index):
-    queries = ask(spark, "kayak", "river trips", "")
-    stored = ix.store_index(index)
-    a = se.search(queries, index).orderBy("query_id", "rank").collect()
-    b = se.search(queries, stored).orderBy("query_id", "rank").collect()
-    assert a == b
+def test_stored_index_gives_the_same_results(spark, index, tmp_path):
+    queries = ask(spark, "kayak", "river trips", "", ("maps", "charts.example"), ("maps", "all"), ("maps", "none"))
+    stored = ix.store_index(index, str(tmp_path / "index"))
+    for some in (stored, ix.open_index(spark, str(tmp_path / "index"))):
+        assert some.params == index.params and some.path
+        a = se.search(queries, index).orderBy("query_id", "rank").collect()
+        b = se.search(queries, some).orderBy("query_id", "rank").collect()
+        assert a == b
+        assert se.total_found(queries, index, SearchParams()).collect() == se.total_found(queries, some, SearchParams()).collect()
+    for _ in range(2):
+        ix.store_index(stored, str(tmp_path / "index"))
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["version=2", "version=3"]
+    (tmp_path / "index" / "version=4" / "meta").mkdir(parents=True)  # a store lost halfway
+    assert ix.open_index(spark, str(tmp_path / "index")).vocab.count() == index.vocab.count()
+    with pytest.raises(FileNotFoundError):
+        ix.open_index(spark, str(tmp_path / "none"))
+
+
+def test_stored_index_moves_only_scores_and_reads_only_domains(spark, tmp_path):
+    rows = [(i, f"u{i}", f"word{i % 40} thing{i % 7}", f"text word{i % 11} again{i % 5}", f"d{i % 20}") for i in range(400)]
+    built = ix.build_index(spark.createDataFrame(rows, SCHEMA))
+    stored = ix.store_index(built, str(tmp_path / "i"), shards=3, domain_parts=5)
+    queries = ask(spark, "word3 thing4", ("word3 again1", "d7"))
+    vectors = se.query_vectors(queries, stored)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def scores(index):
+        return {(r.query_id, r.page_id): round(r.score, 9) for r in se.keyword_hits(queries, index, SearchParams()).collect()}
+
+    assert scores(stored) == scores(built) and len(scores(stored)) > 20
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        hits = se.keyword_hits(queries, stored, SearchParams())
+        assert "Exchange hashpartitioning" not in plan(hits) and "BroadcastHashJoin" in plan(hits)
+        top = se.top_rows(hits, "query_id", se.rank_order(), 2, "rank")
+        assert "WindowGroupLimit" in plan(top)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    inside = stored.postings.where(F.col("domain_part") == spark.range(1).select(ix.domain_part(F.lit("d7"), 5)).first()[0])
+    assert 0 < len(inside.inputFiles()) < len(stored.postings.inputFiles())
+    assert f"PartitionFilters: [isnotnull(domain_part" in plan(se.cosine_scores(stored.postings, vectors.where("key = 'd7'"), stored)) or (
+        "domain_part" in plan(se.cosine_scores(stored.postings, vectors.where("key = 'd7'"), stored)).split("PartitionFilters: [")[-1].split("]")[0])
+
+
+def test_queries_in_slices_give_the_same_scores(spark, index, monkeypatch):
+    queries = ask(spark, "kayak", "river trips", ("maps", "charts.example"), "lessons", "guides spring")
+    whole = sorted((r.query_id, r.page_id, round(r.score, 9)) for r in se.keyword_hits(queries, index, SearchParams()).collect())
+    monkeypatch.setattr(se, "_SLICE_ROWS", 2)
+    assert whole == sorted((r.query_id, r.page_id, round(r.score, 9)) for r in se.keyword_hits(queries, index, SearchParams()).collect())
+
+
+def test_pairs_are_dropped_inside_their_page(spark):
+    rows = [(i, f"u{i}", f"common shared{i % 3}", f"rare{i} common shared{i % 3} rare{i + 1}", "d") for i in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    params = IndexParams(max_features=4, max_df=1.0)
+    likely = ix.frequent_terms(docs, params)
+    assert ix.doc_freq(docs, params).where("term like '% %'").count() > 100 > likely.where("term like '% %'").count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        assert "SortMergeJoin" not in ix.frequent_terms(docs, params)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_cache_first_search(spark, index):
-    header = spark.createDataFrame(
-        [], "query_hash string, query string, domain_filter string, created_at timestamp_ntz, expires_at timestamp_ntz"
-    )
-    hits = spark.createDataFrame([], "query_hash string, page_id long, score double")
+    empty = empty_cache(spark)
     at = lambda t: F.lit(t).cast("timestamp_ntz")
     queries = ask(spark, "kayak", "KAYAK ", "zzz", "")
-    cold, cache = search_cached(queries, index, Cache(header, hits), at("2024-01-01 00:00:00"))
-    assert {r.query_id for r in cold.where("NOT cached").collect()} == {0, 1, 3}
+    cold = search_cached(queries, index, empty, at("2024-01-01 00:00:00"))
+    assert {r.query_id for r in cold.results.where("NOT cached").collect()} == {0, 1, 3}
+    assert {(r.query_id, r.total_found, r.cached) for r in cold.totals.collect()} == {(0, 2, False), (1, 2, False), (2, 0, False), (3, 3, False)}
+    cache = merged(empty, cold.new)
     assert cache.header.count() == 2  # equal keys share an entry; nothing found stores nothing
-    warm, kept = search_cached(queries, index, cache, at("2024-01-01 00:59:59"), SearchParams(limit=1))
-    assert {(r.query_id, r.page_id, r.total_found, r.cached) for r in warm.collect()} == {
+    assert cache.records.count() == 2 and cache.header.where("blank").count() == 1  # a blank query is a marker only
+    one = SearchParams(limit=1)
+    warm = search_cached(queries, index, cache, at("2024-01-01 00:59:59"), one)
+    assert {(r.query_id, r.page_id, r.total_found, r.cached) for r in warm.results.collect()} == {
         (0, 1, 2, True), (1, 1, 2, True), (3, 1, 3, True)
     }
-    assert kept.header.count() == 2
-    late, _ = search_cached(queries, index, kept, at("2024-01-01 01:00:00"))
-    assert not late.where("cached").count()
+    assert warm.new.header.isEmpty()
+    late = search_cached(queries, index, cache, at("2024-01-01 01:00:00"))
+    assert not late.results.where("cached").count()
+
+
+def test_cached_results_are_those_of_their_time(spark, index):
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    queries = ask(spark, "kayak")
+    few = SearchParams(limit=1, cache_rows=1)
+    cache = search_cached(queries, index, empty_cache(spark), at("2024-01-01 00:00:00"), few).new
+    gone = ix.Index(index.docs.where("page_id <> 1"), index.vocab, index.postings.where("page_id <> 1"), index.params)
+    [hit] = search_cached(queries, gone, cache, at("2024-01-01 00:10:00"), few).results.collect()
+    assert (hit.page_id, hit.url, hit.title, hit.total_found, hit.cached) == (1, PAGES[0][1], "Kayak Lessons", 2, True)
+    # More rows than the entry holds are searched for anew.
+    more = search_cached(queries, gone, cache, at("2024-01-01 00:10:00"), SearchParams(limit=2, cache_rows=1))
+    assert [(r.page_id, r.cached) for r in more.results.collect()] == [(2, False)]
+    assert [r.total_found for r in merged(cache, more.new).header.collect()] == [1]
 
 
 def test_result_page_clamps(spark):

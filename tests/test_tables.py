@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pagewright.operators import cache as C
 from pagewright.operators import history, links, stats
 from pagewright.params import SearchParams
+from pagewright.plans.crawl import SUMMARY, link_table, page_table, store_crawl
 from pagewright.sources import tables
+from pagewright.sources.buckets import create_buckets, open_buckets
 
 PAGE = (
     "page_id long, url string, title string, content string, domain string, crawl_time timestamp_ntz, "
@@ -148,8 +150,11 @@ def test_stats(spark):
     assert {(r.metric, r.key): r.value for r in record.collect()} == {
         ("total_pages", ""): "2", ("total_searches", ""): "4", ("cached_queries", ""): "2",
         ("last_crawl", ""): "2024-01-01T00:00:00", ("index_size", ""): "7",
-        ("crawl_status", ""): "crawling", ("domain_stats", "a.x"): "2", ("database_size", ""): "1.0 MB",
+        ("crawl_status", ""): "crawling", ("domains", "a.x"): "a.x", ("domain_stats", "a.x"): "2", ("database_size", ""): "1.0 MB",
     }
+    crawls = spark.createDataFrame([(True, 0), (False, 3)], "is_crawling boolean, pages_crawled long")
+    for kept, state in (("true", "crawling"), ("not is_crawling", "completed"), ("pages_crawled = 9", "idle")):
+        assert stats.overall_status(crawls.where(kept)).first().status == state
 
 
 def test_crawl_status_and_eta(spark):
@@ -165,3 +170,65 @@ def test_crawl_status_and_eta(spark):
     eta = {r.crawl_id: r.estimated_completion for r in stats.crawl_eta(crawls, at("2024-01-01 00:10:00")).collect()}
     assert str(eta["run"]) == "2024-01-01 00:40:00"
     assert {k for k, v in eta.items() if v is None} == {"done", "idle", "none", "new"}
+
+
+def files(path):
+    return {str(f.relative_to(path)) for f in path.rglob("part-*")}
+
+
+def test_updates_write_only_the_buckets_of_their_keys(spark, tmp_path):
+    pages = spark.range(4000).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("http://s"), F.col("id") % 100, F.lit(".x/"), F.col("id")).alias("url"), F.lit("old").alias("title"),
+        F.concat(F.lit("s"), F.col("id") % 100, F.lit(".x")).alias("domain"))
+    table = create_buckets(spark, str(tmp_path), pages.schema, "url", 256, "domain", 4).update(pages, lambda old, new: new)
+    before, first = files(tmp_path), {tuple(r) for r in table.read().collect()}
+    assert first == {tuple(r) for r in pages.collect()}
+    batch = pages.where("domain = 's7.x'").withColumn("title", F.lit("new"))  # a hundredth of the urls
+
+    def merge(old, new):
+        return old.join(new.select("url"), "url", "left_anti").select(*new.columns).unionByName(new)
+
+    later = table.update(batch, merge)
+    assert 0 < len(later.touched(batch)) <= 4 and set(later.held) == set(table.held)
+    written = {f for f in files(tmp_path / "data") if f.startswith("version=3/")}
+    assert len(written) <= 4 and {tuple(r) for r in table.read().collect()} == first
+    expected = {(i, u, "new" if d == "s7.x" else t, d) for i, u, t, d in first}
+    assert {tuple(r) for r in later.read().collect()} == expected
+    assert {tuple(r) for r in open_buckets(spark, str(tmp_path)).read(later.touched(batch)).where("domain = 's7.x'").collect()} == {
+        r for r in expected if r[3] == "s7.x"}
+    twice = later.update(batch, merge)
+    assert {tuple(r) for r in twice.read().collect()} == expected
+    # The first files of the changed buckets are gone, the others are still those.
+    now = files(tmp_path)
+    assert len(before - now) >= len(written) and len([f for f in now if "version=2/" in f]) >= 0.9 * len([f for f in before if "version=2/" in f])
+    (tmp_path / "manifest" / "version=99").mkdir()  # an update lost halfway
+    assert open_buckets(spark, str(tmp_path)).version == twice.version
+    assert twice.update(batch.limit(0), merge).version == twice.version
+    with pytest.raises(ValueError):
+        twice.replace([0], pages)
+    cleared = twice.clear()
+    assert cleared.read().isEmpty() and cleared.held == {}
+    assert {tuple(r) for r in cleared.update(batch, merge).read().collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_stored_statistics_add_up(spark, tmp_path):
+    table = str(tmp_path / "pages")
+
+    def crawl_of(day, *urls):
+        rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "crawl_order long, url string")
+        return rows.select(
+            "url", F.xxhash64("url").alias("page_id"), F.lit("t").alias("title"), F.lit("").alias("content"), at(day).alias("crawl_time"),
+            F.lit(0).alias("depth"), F.lit("http://a.x/0" if day > "2024-01-01" else None).cast("string").alias("parent_url"),
+            F.lit(200).alias("status_code"), "crawl_order")
+
+    store_crawl(crawl_of("2024-01-01", "http://a.x/0", "http://a.x/1", "http://b.x/"), table, at("2024-01-01"))
+    store_crawl(crawl_of("2024-01-05", "http://b.x/", "http://b.x/2", "http://c.x/"), table, at("2024-01-05"))
+    summary = page_table(spark, table).summary(SUMMARY)
+    assert {(r.domain, r.n) for r in summary.groupBy("domain").agg(F.sum("pages").alias("n")).collect()} == {("a.x", 2), ("b.x", 2), ("c.x", 1)}
+    none = spark.createDataFrame([], "expires_at timestamp_ntz")
+    record = stats.stats_of_summary(summary, spark.range(0), none, spark.range(3), at("2024-01-02"))
+    whole = stats.stats(page_table(spark, table).read(), spark.range(0), none, spark.range(3), at("2024-01-02"))
+    assert sorted(record.collect()) == sorted(whole.collect())
+    ids = {r.url: r.page_id for r in page_table(spark, table).read().collect()}
+    assert {tuple(r) for r in link_table(spark, table).read().collect()} == {
+        (ids["http://a.x/0"], ids[u]) for u in ("http://b.x/", "http://b.x/2", "http://c.x/")}

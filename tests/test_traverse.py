@@ -4,12 +4,13 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import traverse
+from pagewright.operators import routes, traverse
 from pagewright.operators.dfs import crawl_dfs
 from pagewright.operators.ordinals import global_ordinal, ordinal_in_group
 from pagewright.operators.routes import page_routes
 from pagewright.params import CrawlParams
 from pagewright.plans.crawl import crawl, store_crawl
+from pagewright.session import bucketed, materialize
 
 ROOT = "https://example.com"
 SITES = {
@@ -160,6 +161,33 @@ def test_routes(spark):
     assert [s.title for s in row.route] == ["A", "B", "C"]
 
 
+def test_long_routes_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(routes, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+    pages = spark.range(3000).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("p"), "id").alias("url"), F.lit("t").alias("title"),
+        F.when(F.col("id") > 0, F.concat(F.lit("p"), F.col("id") - 1)).alias("parent_url"))
+    [row] = page_routes(pages, spark.createDataFrame([(2999,)], "page_id long")).collect()
+    assert [s.url for s in row.route] == [f"p{i}" for i in range(3000)]
+    assert len([r for r in rounds if r.startswith("ways")]) <= 14
+
+
+def test_levels_move_neither_links_nor_urls(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(traverse, "bucketed", lambda df, key, label: plans.append(
+        (label, df._jdf.queryExecution().executedPlan().toString())) or bucketed(df, key, label))
+    site = {f"http://a.x/{i}": [f"http://a.x/{2 * i + 1}", f"http://a.x/{2 * i + 2}"] for i in range(31)}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        assert traverse.bfs(*frames(spark, ["http://a.x/0"], site), CrawlParams(max_depth=3)).count() == 15
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Only the links found at a level are exchanged, once.
+    assert [plan.count("Exchange hashpartitioning") for label, plan in plans if label.startswith("bfs-level")][1:] == [1, 1, 1]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pagewright_bfs")]
+
+
 def test_ordinals(spark):
     df = spark.range(1000).select((F.col("id") % 7 % 3).alias("g"), (F.col("id") * 13).alias("v"))
     got = {}
