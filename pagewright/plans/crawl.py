@@ -70,7 +70,7 @@ _LINK_SCHEMA = "from_page_id long, to_page_id long"
 SUMMARY = "domain string, pages long, last_crawl timestamp_ntz"
 
 
-def page_table(spark: SparkSession, path: str, buckets: int = 256, spread: int = 16) -> BucketTable:
+def page_table(spark: SparkSession, path: str, buckets: int = 64, spread: int = 8) -> BucketTable:
     """The page table at ``path``, made where there is none yet.
 
     Buckets go by site, ``spread`` of them for each, and in a site by url. So a
@@ -105,7 +105,7 @@ def store_crawl(results: DataFrame, table: str, now: Column) -> DataFrame:
     return pages
 
 
-def link_table(spark: SparkSession, table: str, buckets: int = 64) -> BucketTable:
+def link_table(spark: SparkSession, table: str, buckets: int = 16) -> BucketTable:
     """Discovery links (from_page_id, to_page_id) of the page table at ``table``, each once."""
     try:
         return open_buckets(spark, f"{table}/links")

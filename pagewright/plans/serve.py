@@ -22,7 +22,7 @@ from pagewright.session import materialize
 from pagewright.sources.buckets import BucketTable, create_buckets, open_buckets
 from pagewright.sources.tables import read_snapshot, write_snapshot
 
-_BUCKETS = 64
+_BUCKETS = 32
 
 
 def cache_tables(spark: SparkSession, root: str) -> tuple[BucketTable, BucketTable]:
