@@ -14,6 +14,7 @@ from pagewright.llm.packing import pack
 from pagewright.llm.quality import judge
 from pagewright.llm.spans import remove_repeats
 from pagewright.llm.spelling import SpellingParams, spelling_forms
+from pagewright.llm.sql import ORACLE_SQL
 from pagewright.llm.vectors import similar_vectors
 
 
@@ -83,9 +84,10 @@ def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_forms(read(spark, sf_dir, "documents"), SpellingParams(slips=199))
 
 
+__all__ = ["ORACLE_SQL", "REGISTRY"]
+
 REGISTRY = {f.__name__: f for f in (
     op1_license_scan, op2_quality_divergence, op3_language_ppm, op4_brown_lm, op5_mix_sources,
     op6_pack_sequences, op7_span_dedup, op8_toxicity, op9_vector_dedup, op10_minhash_dedup,
     op11_chat_format, op12_merkle_manifest, op13_spelling_forms)}
 
-ORACLE_SQL: dict[str, str] = {}
