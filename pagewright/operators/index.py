@@ -28,6 +28,7 @@ from pagewright.functions.text import (
 from pagewright.functions.urls import fill_domain
 from pagewright.params import IndexParams
 from pagewright.session import materialize, work_path
+from pagewright.sources.buckets import BucketTable, create_buckets, open_buckets
 from pagewright.sources.files import delete, finished, numbered
 
 _FILTER_BITS = 1 << 23  # at most so many bits, a megabyte, travel with the tasks
@@ -182,9 +183,14 @@ def weigh(words: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
     """
     idf = _term_weights(vocab)
     known = F.filter(words_and_pairs("words"), lambda term: idf(term).isNotNull())
-    counted = with_count_arrays(words, known, *keep)
-    raw = counted.select(*keep, F.transform("counts", lambda c: F.struct(
-        c["term"].alias("term"), c["tf"].alias("tf"), (c["tf"] * idf(c["term"])).alias("w"))).alias("_raw"))
+    return _weigh_counts(with_count_arrays(words, known, *keep), idf, *keep)
+
+
+def _weigh_counts(counted: DataFrame, idf: Callable[[Column], Column], *keep: str) -> DataFrame:
+    """``keep``, term, tf, weight from ``counts``; terms without an idf drop out."""
+    weights = F.transform("counts", lambda c: F.struct(
+        c["term"].alias("term"), c["tf"].alias("tf"), (c["tf"] * idf(c["term"])).alias("w")))
+    raw = counted.select(*keep, F.filter(weights, lambda c: c["w"].isNotNull()).alias("_raw"))
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, c: total + c["w"] * c["w"]))
     normed = raw.select(*keep, "_raw", norm.alias("_norm"))
     return normed.select(*keep, "_norm", F.explode(computed("_raw")).alias("_c")).select(
@@ -277,6 +283,69 @@ def open_index(spark: SparkSession, path: str) -> Index:
                  params, path, meta["domain_parts"])
 
 
+_DOCS = "page_id long, url string, title string, content string, domain string"
+_COUNTS = "page_id long, domain string, counts array<struct<term:string,tf:bigint>>"
+_TERMS = "term string, df long, cf long"
+
+
+@dataclass(frozen=True)
+class CountStore:
+    """What an index is made of, kept up to date: docs, term counts of each page, and df and cf of each term."""
+
+    docs: BucketTable
+    counts: BucketTable
+    terms: BucketTable
+
+
+def count_store(spark: SparkSession, path: str, buckets: int = 32) -> CountStore:
+    """The store at ``path``, made where there is none yet."""
+    def table(name: str, schema: str, key: str) -> BucketTable:
+        try:
+            return open_buckets(spark, f"{path}/{name}")
+        except FileNotFoundError:
+            return create_buckets(spark, f"{path}/{name}", schema, key, buckets)
+
+    return CountStore(table("docs", _DOCS, "page_id"), table("counts", _COUNTS, "page_id"), table("terms", _TERMS, "term"))
+
+
+def _replaced_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.join(new.select("page_id"), "page_id", "left_anti").select(*new.columns).unionByName(new)
+
+
+def add_pages(store: CountStore, pages: DataFrame, params: IndexParams = IndexParams()) -> CountStore:
+    """The store with ``pages`` (page_id, url, title, content, domain) new or in place of those with their ids.
+
+    Only these pages are tokenised. A term's counts change by what the pages
+    have now, less what their former versions had; counts add up, so no other
+    page is read.
+    """
+    docs = materialize(index_docs(pages).withColumn("page_id", F.col("page_id").cast("long")), "new-docs")
+    words = doc_words(docs, params, "domain")
+    new = materialize(with_count_arrays(words, words_and_pairs("words"), "page_id", "domain").withColumn(
+        "counts", F.coalesce("counts", F.array().cast("array<struct<term:string,tf:bigint>>"))), "new-counts")
+    old = store.counts.read(store.counts.touched(new)).join(new.select("page_id"), "page_id", "left_semi")
+
+    def change(rows: DataFrame, sign: int) -> DataFrame:
+        flat = rows.select(F.explode(computed("counts")).alias("c"))
+        return flat.select("c.term", F.lit(sign).cast("long").alias("df"), (sign * F.col("c.tf")).alias("cf"))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+    changes = summed(change(new, 1).unionByName(change(old, -1))).where("df <> 0 or cf <> 0")
+    terms = store.terms.update(changes, lambda stored, delta: summed(stored.unionByName(delta.select(*stored.columns))).where("df > 0"))
+    return CountStore(store.docs.update(docs, _replaced_pages), store.counts.update(new, _replaced_pages), terms)
+
+
+def index_of_counts(store: CountStore, params: IndexParams = IndexParams()) -> Index:
+    """The index of the stored pages, equal to one built from their texts, from counts alone."""
+    docs = store.docs.read()
+    allowed = _within_bounds(store.terms.read(), docs, params)
+    vocab = materialize(with_idf(vocabulary(allowed, params), docs), "vocabulary")
+    postings = _weigh_counts(store.counts.read(), _term_weights(vocab), "page_id", "domain")
+    return Index(docs, vocab, postings, params)
+
+
 def index_summary(index: Index) -> DataFrame:
     """Documents, terms and postings of an index, as metric rows."""
     def metric(name: str, df: DataFrame) -> DataFrame:

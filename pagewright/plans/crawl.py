@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.urls import extract_domain
 from pagewright.operators.dfs import crawl_dfs
 from pagewright.operators.extract import extract_text, page_outlinks, page_records
+from pagewright.operators.index import add_pages, count_store, index_of_counts, store_index
 from pagewright.operators.links import filter_allowed, page_links
 from pagewright.operators.traverse import crawl_bfs
-from pagewright.params import CrawlParams
-from pagewright.session import materialize
+from pagewright.params import CrawlParams, IndexParams
+from pagewright.session import bucketed, forget, materialize
 from pagewright.sources.buckets import BucketTable, create_buckets, open_buckets
 from pagewright.sources.tables import scan_pages, upsert_pages
 
@@ -42,6 +45,7 @@ def crawl(
     links: DataFrame | None = None,
     parser: str = "auto",
     allowed: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Page records of a crawl: the page columns plus crawl_order.
 
@@ -58,10 +62,36 @@ def crawl(
     if links is None or allowed is not None:
         found = materialize(found, "links")
     reached = materialize(traverse(seeds, scan_pages(raw), found, params), "crawl")
+    # Of pages in buckets of their urls only the reached urls move to them.
+    reached = reached if buckets is None else reached.repartition(buckets, "url")
     fetched = raw.select("page_id", "url", "html", "crawl_time").join(reached, "url")
     return page_records(fetched, parser, links=False)
 
 
+_RAW_COLUMNS = "page_id BIGINT, url STRING, html STRING, crawl_time TIMESTAMP_NTZ"
+
+
+def store_raw_pages(raw_pages: DataFrame, path: str) -> None:
+    """Write raw pages (page_id, url, html, crawl_time) in buckets of their urls, for crawls that then move no HTML.
+
+    ``path`` is a new folder. The bucket count is written last.
+    """
+    spark = raw_pages.sparkSession
+    rows = raw_pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "crawl_time")
+    _, _, name = bucketed(rows, "url", "raw-pages", f"{path}/pages")
+    forget(spark, [name])
+    buckets = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.createDataFrame([(buckets,)], "buckets string").coalesce(1).write.mode("overwrite").text(f"{path}/buckets")
+
+
+def open_raw_pages(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(raw pages, number of buckets) as ``store_raw_pages`` left them, for ``crawl``."""
+    buckets, name = int(spark.read.text(f"{path}/buckets").first()[0]), f"pagewright_{uuid.uuid4().hex}"
+    place = f"{path}/pages".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({_RAW_COLUMNS}) USING parquet CLUSTERED BY (url) SORTED BY (url) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name), buckets
+
+
 _PAGE_SCHEMA = (
     "page_id long, url string, title string, content string, domain string, crawl_time timestamp_ntz, depth int, "
     "parent_url string, status_code int, created_at timestamp_ntz, updated_at timestamp_ntz"
@@ -87,11 +117,13 @@ def summarise(pages: DataFrame) -> DataFrame:
     return pages.groupBy("bucket", "domain").agg(F.count("*").alias("pages"), F.max("crawl_time").alias("last_crawl"))
 
 
-def store_crawl(results: DataFrame, table: str, now: Column) -> DataFrame:
+def store_crawl(results: DataFrame, table: str, now: Column, index: str | None = None, params: IndexParams = IndexParams()) -> DataFrame:
     """Upsert crawl results into the page table at ``table`` and read it back.
 
     Only the buckets of the results' urls are read and written. The links along
     which pages were found go to the link table beside it, see ``link_table``.
+    With ``index``, a folder, the stored index there is brought up to date:
+    only the results are tokenised, see ``add_pages``; ``open_index`` opens it.
     """
     spark = results.sparkSession
     stored = page_table(spark, table)
@@ -102,6 +134,10 @@ def store_crawl(results: DataFrame, table: str, now: Column) -> DataFrame:
     found = materialize(page_links(ids, pages), "found-links")
     links = link_table(spark, table)
     links.update(found, lambda old, new: old.unionByName(new.select(*old.columns)).distinct())
+    if index is not None:
+        changed = stored.read(stored.touched(batch)).join(batch.select("url").distinct(), "url", "left_semi")
+        counts = add_pages(count_store(spark, f"{index}/counts"), changed, params)
+        store_index(index_of_counts(counts, params), f"{index}/index")
     return pages
 
 

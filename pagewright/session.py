@@ -63,15 +63,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, label: str) -> tuple[DataFrame, str, str]:
-    """Write ``df`` in buckets of ``key`` to the shared folder: (the table, its path, its name).
+def bucketed(df: DataFrame, key: str, label: str, path: str | None = None) -> tuple[DataFrame, str, str]:
+    """Write ``df`` in buckets of ``key`` to the shared folder, or to ``path``: (the table, its path, its name).
 
     There are as many buckets as shuffle partitions, so joins and groupings by
     the key move no row of it. The name is only the session's way to know the
     buckets; ``forget`` it once they are not needed, the files stay.
     """
     spark = df.sparkSession
-    path, name = work_path(spark, label), f"pagewright_{uuid.uuid4().hex}"
+    path, name = path or work_path(spark, label), f"pagewright_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name), path, name

@@ -1,9 +1,11 @@
 from pyspark.sql import functions as F
 
+from pagewright.operators import index as ix
 from pagewright.operators.history import history_view
 from pagewright.operators.index import build_index
-from pagewright.params import SearchParams
+from pagewright.params import CrawlParams, IndexParams, SearchParams
 from pagewright.plans import serve
+from pagewright.plans.crawl import corpus_links, crawl, open_raw_pages, store_crawl, store_raw_pages
 from pagewright.sources.buckets import open_buckets
 from pagewright.streaming.ingest import ingest
 from tests.test_search import PAGES, QUERIES, SCHEMA
@@ -72,3 +74,54 @@ def test_stream_upserts_arriving_pages(spark, tmp_path):
     arrive((1, "http://a.x/1", "<title>New</title>", 200, "2024-01-03"), (1, "http://a.x/1", "<title>Mid</title>", 200, "2024-01-02"))
     rows = open_buckets(spark, table).read().collect()
     assert [(r.url, r.title, r.domain) for r in rows] == [("http://a.x/1", "New", "a.x")]
+
+
+def test_stores_bring_the_index_up_to_date(spark, tmp_path, monkeypatch):
+    table, index = str(tmp_path / "pages"), str(tmp_path / "index")
+    params = IndexParams(max_features=40)
+
+    def crawled(version, *numbers):
+        rows = [(i, f"http://s{i % 3}.x/{i}", f"Title {i % 4} {version}", f"common word{i % 5} pair{i % 5} {version} only{i}") for i in numbers]
+        df = spark.createDataFrame(rows, "page_id long, url string, title string, content string")
+        return df.select("*", at("2024-01-01 00:00:00").alias("crawl_time"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"),
+                         F.lit(200).alias("status_code"), F.col("page_id").alias("crawl_order"))
+
+    tokenised = []
+    real = ix.doc_words
+    monkeypatch.setattr(ix, "doc_words", lambda docs, *more: tokenised.append(docs.count()) or real(docs, *more))
+    for day, (version, numbers) in enumerate((("first", range(30)), ("second", range(25, 40)), ("third", [3])), 1):
+        pages = store_crawl(crawled(version, *numbers), table, at(f"2024-01-0{day} 00:00:00"), index, params)
+    assert tokenised == [30, 15, 1]
+    got, whole = ix.open_index(spark, f"{index}/index"), ix.build_index(pages, params)
+    assert got.params == params and sorted(got.docs.collect()) == sorted(whole.docs.collect())
+
+    def rounded(df, name):
+        return sorted(tuple(r) for r in df.withColumn(name, F.round(name, 9)).collect())
+
+    assert rounded(got.vocab, "idf") == rounded(whole.vocab, "idf")
+    assert rounded(got.postings.drop("domain_part"), "weight") == rounded(whole.postings, "weight")
+
+
+def test_crawls_over_stored_pages_move_no_html(spark, tmp_path):
+    html = {f"http://a.x/{i}": f"<title>Page {i}</title><a href='/{2 * i + 1}'>l</a><a href='/{2 * i + 2}'>r</a>" for i in range(40)}
+    raw = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(html.items())], "page_id long, url string, html string").withColumn(
+        "crawl_time", at("2024-01-01 00:00:00"))
+    seeds = spark.createDataFrame([("http://a.x/0", 0)], "url string, ord long")
+    store_raw_pages(raw, str(tmp_path / "raw"))
+    pages, buckets = open_raw_pages(spark, str(tmp_path / "raw"))
+    links = corpus_links(raw)
+    expected = sorted(crawl(seeds, raw, CrawlParams(), links).collect())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        found = crawl(seeds, pages, CrawlParams(), links, buckets=buckets)
+        assert sorted(found.select(*crawl(seeds, raw, CrawlParams(), links).columns).collect()) == expected
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Whatever is exchanged lies above a scan without html.
+    for part in plan.split("Exchange ")[1:]:
+        assert "html" not in part.split("FileScan", 1)[1].split("ReadSchema", 1)[1].split("\n")[0]
+    allowed = spark.createDataFrame([("b.x",)], "domain string")
+    assert crawl(seeds, pages, CrawlParams(), links, allowed=allowed, buckets=buckets).isEmpty()
+    assert crawl(seeds, pages, CrawlParams(), links, allowed=allowed.select(F.lit("a.x").alias("domain")), buckets=buckets).count() == len(expected)
