@@ -33,6 +33,8 @@ _BITS = 6
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONE = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][^\w\n]{1,3}){2,}[^\W\d_](?![^\W\d_])")
 _SENTENCE = re.compile(r"[^.!?\n]+")
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
+_CUT = 1.0  # values beyond it count as it: the machine is sure
 _cache: dict[bytes, dict[str, float]] = {}
 
 
@@ -69,7 +71,16 @@ class ToxicityModel:
 
 
 def segments(text: str) -> list[str]:
-    """Words of letters, and what runs of single letters spell."""
+    """Words of letters, what runs of single letters spell, and what tokens spell without the signs and digits inside them.
+
+    So ``mor*on`` and ``i_d_i_o_t`` are read as words too; letters that digits
+    stand for are missing, which the kernel sees as a gap.
+    """
+    return [*words_of(text), *joined(text)]
+
+
+def words_of(text: str) -> list[str]:
+    """Words of letters, and what runs of single letters spell: what the machine learns from."""
     text = text.lower()
     found = _LETTERS.findall(text)
     for run in _LONE.finditer(text):
@@ -77,6 +88,14 @@ def segments(text: str) -> list[str]:
     return found
 
 
+def joined(text: str) -> list[str]:
+    found = []
+    for token in text.lower().split():
+        if not token.isalpha() and not (token := token.strip(_SIGNS)).isalpha() and len(runs := _LETTERS.findall(token)) > 1:
+            found.append("".join(runs))
+    return found
+
+
 def _parts(words: list[str], window: int, step: int) -> tuple[list[str], np.ndarray]:
     """All windows of ``words`` and the word of each window.
 
@@ -233,7 +252,7 @@ def _scorer(model: ToxicityModel, with_sentence: bool):
                 texts = batch.column("text").to_pylist()
                 found = [set(segments(t)) for t in texts]
                 cache = _known(set().union(*found), model)
-                top = [[min(v, 1.0) for v in heapq.nlargest(3, (*map(cache.__getitem__, f), *[model.bias] * 3))] for f in found]
+                top = [[min(v, _CUT) for v in heapq.nlargest(3, (*map(cache.__getitem__, f), *[model.bias] * 3))] for f in found]
                 out = {"doc_id": batch.column("doc_id"), "best": [t[0] for t in top], "mean": [sum(t) / 3 for t in top]}
                 if with_sentence:
                     out["sentence"] = [
@@ -263,7 +282,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            found = segments(text)
+            found = words_of(text)
             rows += [(toxic, w, zlib.crc32(v.encode())) for v, w in set(zip(["", *found], found))]
         yield to_batch(dict(zip(schema.names, zip(*rows))) if rows else dict.fromkeys(schema.names, ()), schema)
 
