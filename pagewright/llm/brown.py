@@ -30,9 +30,10 @@ from pagewright.llm.common import raw_text, sorted_runs, to_batch
 from pagewright.session import materialize
 
 _END = b"\n"  # no word: words hold no white space
-_FLUSH = 300_000
-_TOKENS = 1_000_000  # tokens whose bigrams are counted at once, and those of a slice of words
-_PAIRS = 4_000_000  # different bigrams a task holds
+_FLUSH = 150_000
+_TOKENS = 250_000  # tokens of a slice of words
+_HELD = 40_000  # tokens whose bigrams are counted at once
+_PAIRS = 250_000  # different bigrams a task holds
 _GAIN = 1e-3  # log-likelihood below which sums of a whole corpus are rounding
 _SETTLED = 1e-3  # log-likelihood a bigram: a thousandth of the perplexity
 
@@ -73,7 +74,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(counts) > _FLUSH:
                 yield out()
                 counts.clear()
+                _release()
     yield out()
+    _release()
 
 
 @dataclass(frozen=True)
@@ -101,6 +104,11 @@ class Vocabulary:
         return np.where(np.fromiter((w == _END for w in words), bool, len(words)), self.size - 1, out)
 
 
+def _release() -> None:
+    """Give back memory of finished Arrow batches, which the pool would keep beside the next task's."""
+    pa.default_memory_pool().release_unused()
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys, sorted, and the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -132,47 +140,63 @@ def _bigrams(known: Vocabulary, slices: int):
         return to_batch(dict(zip(_SLICE.names, zip(*rows))) if rows else dict.fromkeys(_SLICE.names, ()), _SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        pairs, n, held, before = np.zeros(0, np.int64), np.zeros(0, np.int64), [], size - 1
 
         def count() -> None:
-            nonlocal pairs, n, held
+            nonlocal pairs, n, held, before
             kinds = list(set(held))
             number = dict(zip(kinds, known.numbers(kinds).tolist()))
             ids = np.fromiter(map(number.__getitem__, held), np.int64, len(held))
-            found = np.concatenate([[size - 1], ids[:-1]]) * size + ids
-            pairs, n = _summed(np.concatenate([pairs, found]), np.concatenate([n, np.ones(len(found), np.int64)]))
-            held = []
+            found, times = np.unique(np.concatenate([[before], ids[:-1]]) * size + ids, return_counts=True)
+            pairs, n = _summed(np.concatenate([pairs, found]), np.concatenate([n, times]))
+            held, before = [], ids[-1]
 
         for batch in batches:
             for text in batch.column("text"):
-                held += tokens(text.as_py())
-                if len(held) >= _TOKENS:
-                    count()
+                words = tokens(text.as_py())
+                for start in range(0, len(words), _HELD):
+                    held += words[start:start + _HELD]
+                    if len(held) >= _HELD:
+                        count()
                     if len(pairs) > _PAIRS:
                         yield out(pairs, n)
-                        pairs, n = pairs[:0], n[:0]
+                        pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                        _release()
         if held:
             count()
         yield out(pairs, n)
+        _release()
 
     return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each slice and side."""
+    """One row for each slice and side. Rows are added up once they are as many as what they are added to."""
     def out() -> pa.RecordBatch:
-        return to_batch({"slice": [last[0]], "right": [last[1]], "pairs": [pairs.tobytes()], "n": [n.tobytes()]}, _SLICE)
+        add()
+        return to_batch({"slice": [last[0]], "right": [last[1]], "pairs": [parts[0].tobytes()], "n": [times[0].tobytes()]}, _SLICE)
+
+    def add() -> None:
+        nonlocal parts, times
+        pairs, n = _summed(np.concatenate(parts), np.concatenate(times))
+        parts, times = [pairs], [n]
 
-    last, pairs, n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last, parts, times = None, [], []
     for batch in batches:
-        for row in batch.to_pylist():
-            if (row["slice"], row["right"]) != last:
+        for k in range(batch.num_rows):
+            key, right, pairs, n = (batch.column(c)[k].as_py() for c in _SLICE.names)
+            if (key, right) != last:
                 if last:
                     yield out()
-                last, pairs, n = (row["slice"], row["right"]), pairs[:0], n[:0]
-            pairs, n = _summed(np.concatenate([pairs, np.frombuffer(row["pairs"], np.int64)]), np.concatenate([n, np.frombuffer(row["n"], np.int64)]))
+                last, parts, times = (key, right), [], []
+            parts.append(np.frombuffer(pairs, np.int64))
+            times.append(np.frombuffer(n, np.int64))
+            if sum(map(len, parts[1:])) > max(len(parts[0]), _HELD):
+                add()
+        _release()
     if last:
         yield out()
+    _release()
 
 
 def _table(of: np.ndarray, total: int, words: int):
