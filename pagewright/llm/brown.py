@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pagewright.llm.common import raw_text, sorted_runs, to_batch
+from pagewright.llm.common import raw_text, small_batches, sorted_runs, to_batch
 from pagewright.session import materialize
 
 _END = b"\n"  # no word: words hold no white space
@@ -204,15 +204,17 @@ def _table(of: np.ndarray, total: int, words: int):
     schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(total * total, np.int64)  # sums of the task, small as classes are few
         for batch in batches:
-            for row in batch.to_pylist():
-                own, other = np.divmod(np.frombuffer(row["pairs"], np.int64), len(of))
-                n = np.frombuffer(row["n"], np.int64)
-                if not row["right"]:
+            for k in range(batch.num_rows):
+                own, other = np.divmod(np.frombuffer(batch.column("pairs")[k].as_buffer(), np.int64), len(of))
+                n = np.frombuffer(batch.column("n")[k].as_buffer(), np.int64)
+                if not batch.column("right")[k].as_py():
                     keep = other >= words
                     own, other, n = other[keep], own[keep], n[keep]
-                pair, n = _summed(of[own].astype(np.int64) * total + of[other], n)
-                yield to_batch({"pair": pair, "n": n}, schema)
+                found += np.bincount(of[own].astype(np.int64) * total + of[other], n, total * total).astype(np.int64)
+        pair = np.flatnonzero(found)
+        yield to_batch({"pair": pair, "n": found[pair]}, schema)
 
     return run
 
@@ -416,6 +418,11 @@ def fit(docs: DataFrame, params: BrownParams = BrownParams()) -> tuple[BrownMode
     The driver holds the ``head`` counts, bigrams of at most ``words`` words, a
     hash, count and class of each clustered word, and one count per class.
     """
+    with small_batches(docs.sparkSession):
+        return _fit(docs, params)
+
+
+def _fit(docs: DataFrame, params: BrownParams) -> tuple[BrownModel, DataFrame]:
     rows = docs.select(raw_text(F.col("text")).alias("text"))
     counts = materialize(rows.mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -494,7 +501,8 @@ def score(docs: DataFrame, model: BrownModel, rest: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", raw_text(F.col("text")).alias("text"))
     shape = "doc_id long, held_out boolean, n_tokens long, known long, emitted double, walked double, rare array<binary>"
-    scored = materialize(rows.mapInArrow(_score(model), shape).withColumn("row", F.monotonically_increasing_id()), "walks")
+    with small_batches(docs.sparkSession):
+        scored = materialize(rows.mapInArrow(_score(model), shape).withColumn("row", F.monotonically_increasing_id()), "walks")
     rare = (
         scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(rest, "word")
         .groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest"))

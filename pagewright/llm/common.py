@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,24 @@ def to_batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and about ``size`` in the jobs run inside; then the session's own again.
+
+    Long texts and packed arrays else fill batches of many megabytes, which the
+    JVM and the Python worker of every core hold at once.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Column arrays of each run of rows with equal keys.
 
