@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ _END = b"\n"  # no word: words hold no white space
 _FLUSH = 150_000
 _TOKENS = 250_000  # tokens of a slice of words
 _HELD = 40_000  # tokens whose bigrams are counted at once
-_PAIRS = 250_000  # different bigrams a task holds
+_PAIRS = 500_000  # bigrams a task holds
+_SEEN = 100_000  # words whose numbers a task remembers
 _GAIN = 1e-3  # log-likelihood below which sums of a whole corpus are rounding
 _SETTLED = 1e-3  # log-likelihood a bigram: a thousandth of the perplexity
 
@@ -131,6 +133,7 @@ def _bigrams(known: Vocabulary, slices: int):
             part = np.where(own < words, own % slices, slices)
             if right:
                 part = np.where((own >= words) & (other >= words), -1, part)
+            part = part.astype(np.min_scalar_type(-slices - 1))  # small integers sort faster
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(-1, slices + 1))
             for k in range(slices + 1):
@@ -140,17 +143,25 @@ def _bigrams(known: Vocabulary, slices: int):
         return to_batch(dict(zip(_SLICE.names, zip(*rows))) if rows else dict.fromkeys(_SLICE.names, ()), _SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n, held, before = np.zeros(0, np.int64), np.zeros(0, np.int64), [], size - 1
+        pairs, held, before, number = [], [], size - 1, {}
 
         def count() -> None:
-            nonlocal pairs, n, held, before
-            kinds = list(set(held))
-            number = dict(zip(kinds, known.numbers(kinds).tolist()))
+            nonlocal held, before, number
+            new = list(set(held).difference(number))
+            if len(number) + len(new) > _SEEN:
+                number, new = {}, list(set(held))
+            number.update(zip(new, known.numbers(new).tolist()))
             ids = np.fromiter(map(number.__getitem__, held), np.int64, len(held))
-            found, times = np.unique(np.concatenate([[before], ids[:-1]]) * size + ids, return_counts=True)
-            pairs, n = _summed(np.concatenate([pairs, found]), np.concatenate([n, times]))
+            pairs.append(np.concatenate([[before], ids[:-1]]) * size + ids)
             held, before = [], ids[-1]
 
+        def summed() -> pa.RecordBatch:
+            nonlocal pairs
+            keys = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            pairs = []
+            return out(keys[first], np.diff(first, append=len(keys)))
+
         for batch in batches:
             for text in batch.column("text"):
                 words = tokens(text.as_py())
@@ -158,13 +169,12 @@ def _bigrams(known: Vocabulary, slices: int):
                     held += words[start:start + _HELD]
                     if len(held) >= _HELD:
                         count()
-                    if len(pairs) > _PAIRS:
-                        yield out(pairs, n)
-                        pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    if sum(map(len, pairs)) > _PAIRS:
+                        yield summed()
                         _release()
         if held:
             count()
-        yield out(pairs, n)
+        yield summed()
         _release()
 
     return run
@@ -399,10 +409,12 @@ def exchange(pairs: np.ndarray, free: int, classes: int, rounds: int) -> np.ndar
 
 @dataclass(frozen=True)
 class BrownModel:
-    """``head``: count and class of frequent words. ``step[c, d]``: log10 of the transition from
+    """``head``: frequent words and their places in ``logs`` (log10 of the count and 1) and ``kinds`` (classes). ``step[c, d]``: log10 of the transition from
     class c to d less that of the emissions' denominator of d. ``of``: class of each number of ``known``."""
 
-    head: dict[bytes, tuple[float, int]]
+    head: dict[bytes, int]
+    logs: np.ndarray
+    kinds: np.ndarray
     step: np.ndarray
     known: Vocabulary
     of: np.ndarray
@@ -456,36 +468,39 @@ def _fit(docs: DataFrame, params: BrownParams) -> tuple[BrownModel, DataFrame]:
         k = end if r["ends"] else first_ending + r["k"]
         tokens_of[k] += r["n"]
         words_of[k] += r["v"]
-    classes_of = dict(zip(head, zip(np.log10(top["n"].to_numpy(float) + 1).tolist(), of[known.numbers(head)].tolist())))
+    places = {w: i for i, w in enumerate(head)}
     to = table.sum(axis=0) + 0.5
     step = (table + params.smoothing * to / to.sum()) / (table.sum(axis=1, keepdims=True) + params.smoothing)
     step = np.log10(step) - np.log10(tokens_of + words_of + 1)[None, :]
-    model = BrownModel(classes_of, step, known, of, end, int(total["n"]), int(total["v"]), params)
+    model = BrownModel(places, np.log10(top["n"].to_numpy(float) + 1), of[known.numbers(head)].astype(np.int32), step, known, of, end, int(total["n"]), int(total["v"]), params)
     rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in map(bytearray, head)], "word binary")), "word", "left_anti")
     return model, rest
 
 
 def _score(model: BrownModel):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-                        ("emitted", pa.float64()), ("walked", pa.float64()), ("rare", pa.list_(pa.binary()))])
+                        ("emitted", pa.float64()), ("walked", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = model.head
         for batch in batches:
             out = {f.name: [] for f in schema}
             out["doc_id"], out["held_out"] = batch.column("doc_id"), batch.column("held_out")
             for text in batch.column("text"):
                 words = tokens(text.as_py())
-                found = [head.get(w) for w in words]
-                rare = [w for w, k in zip(words, found) if k is None]
-                ids = np.array([model.end] + [-1 if k is None else k[1] for k in found])
-                ids[ids < 0] = model.of[model.known.numbers(rare)]
+                at = np.fromiter(map(model.head.get, words, repeat(-1)), np.int32, len(words))
+                often = at >= 0
+                rare = [words[i] for i in np.flatnonzero(~often)]
+                ids = np.full(len(words) + 1, model.end, np.int32)
+                ids[1:][often] = model.kinds[at[often]]
+                ids[1:][~often] = model.of[model.known.numbers(rare)]
                 ids[-1] = model.end
+                times = Counter(rare)
                 out["n_tokens"].append(len(words))
                 out["known"].append(len(words) - len(rare))
-                out["emitted"].append(sum([k[0] for k in found if k is not None]))
+                out["emitted"].append(float(model.logs[at[often]].sum()))
                 out["walked"].append(float(model.step[ids[:-1], ids[1:]].sum()))
-                out["rare"].append(rare)
+                out["rare"].append(list(times))
+                out["times"].append(list(times.values()))
             yield to_batch(out, schema)
 
     return run
@@ -500,11 +515,12 @@ def score(docs: DataFrame, model: BrownModel, rest: DataFrame) -> DataFrame:
     are scored each. Without training documents every count is 0.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", raw_text(F.col("text")).alias("text"))
-    shape = "doc_id long, held_out boolean, n_tokens long, known long, emitted double, walked double, rare array<binary>"
+    shape = "doc_id long, held_out boolean, n_tokens long, known long, emitted double, walked double, rare array<binary>, times array<long>"
     with small_batches(docs.sparkSession):
         scored = materialize(rows.mapInArrow(_score(model), shape).withColumn("row", F.monotonically_increasing_id()), "walks")
     rare = (
-        scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(rest, "word")
+        scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+        .join(rest, "word")
         .groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest"))
     )
     emitted = F.col("emitted") + F.coalesce("rest", F.lit(0.0))
