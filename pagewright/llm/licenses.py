@@ -74,7 +74,9 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> D
     """Licence phrases and notices of every row of ``docs(doc_id, text)``.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased;
-    null and empty texts have none. Returns doc_id, n_words, n_base (places of
+    null and empty texts have none, an empty table gives no row. A place costs
+    its notice's length, so long texts of many notices take linear time. Of key
+    words with equal IDF the first is indexed. Returns doc_id, n_words, n_base (places of
     base phrases), first_word and last_word (their smallest and largest start,
     null without one), base_labels, labels (base ones and notices, distinct and
     sorted), score (the best notice's share, 1 for a base phrase alone) and
@@ -98,10 +100,11 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> D
     place = "array<struct<notice:int,at:bigint>>"
     index = F.array(*(F.array(*(F.struct(F.lit(n).alias("notice"), F.lit(at).cast("long").alias("at")) for n, at in postings.get(i, []))).cast(place)
                       for i in range(len(known) + 1)))
-    anchors = F.filter("hits", lambda h: (h % _SLOT).isin(*postings))
-    proposed = F.array_distinct(F.flatten(F.transform(anchors, lambda h: F.transform(
-        F.get(index, (h % _SLOT).cast("int")),
-        lambda p: F.struct(p["notice"].alias("notice"), (F.floor(h / _SLOT) - p["at"]).alias("at"))))))
+    anchors = F.array_compact(F.transform("hits", lambda h, i: F.when((h % _SLOT).isin(*postings), F.struct(h.alias("hit"), i.alias("i")))))
+    # A notice has one posting, so no place is proposed twice.
+    proposed = F.flatten(F.transform(anchors, lambda a: F.transform(
+        F.get(index, (a["hit"] % _SLOT).cast("int")),
+        lambda p: F.struct(p["notice"].alias("notice"), (F.floor(a["hit"] / _SLOT) - p["at"]).alias("at"), a["i"].alias("i")))))
 
     def shares(p: Column) -> Column:
         out = F.lit(None).cast("double")
@@ -111,8 +114,10 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> D
             weights = [idf[known[w]] for w in terms]
             start = _start(terms, key.split())
             must = F.array(*(F.lit(c).cast("long") for c in codes[start:start + len(key.split())]))
+            # Hits of the place are at most the notice's length away from the anchor.
+            near = F.slice("hits", F.greatest(p["i"] - (len(terms) - 1), F.lit(0)) + 1, F.lit(2 * len(terms) - 1))
             here = F.transform(
-                F.filter("hits", lambda h: (h >= p["at"] * _SLOT) & (h < (p["at"] + len(terms)) * _SLOT)),
+                F.filter(near, lambda h: (h >= p["at"] * _SLOT) & (h < (p["at"] + len(terms)) * _SLOT)),
                 lambda h: h - p["at"] * _SLOT)
             weight = F.array(*map(F.lit, weights))
             both = F.array_intersect(here, F.array(*(F.lit(c).cast("long") for c in codes)))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -370,6 +371,16 @@ def test_every_notice_of_a_text_is_found(spark):
     assert all(label in got[i] for i, (label, _, _) in enumerate(NOTICES, 1))
 
 
+def test_licenses_of_long_texts_take_linear_time(spark):
+    notice = "Licensed under the Apache License, Version 2.0 x "
+    docs = spark.createDataFrame([(1, notice * 8000), (1, notice), (None, "MIT License")], "doc_id long, text string")
+    start = time.monotonic()
+    got = sorted((r.doc_id or 0, r.n_words, len(r.notices), r.labels) for r in scan_licenses(docs).collect())
+    assert got == [(0, 2, 0, ""), (1, 9, 1, "apache-2.0"), (1, 72_000, 8000, "apache-2.0")]
+    assert time.monotonic() - start < 60
+    assert scan_licenses(docs.where("false")).count() == 0
+
+
 def test_quality_counts(spark, odd):
     docs = spark.read.parquet(f"{TINY}/documents.parquet").unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 5"))
     rows = {(r.doc_id, r.n_words): r for r in judge(docs).collect()}
