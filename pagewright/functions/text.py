@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.counts import term_rows
+
 # The characters that count as white space, the line ends among
 # them, and what a word is made of.
 SPACES = (
@@ -99,31 +101,7 @@ def words_and_pairs(words: Column | str) -> Column:
 
 def with_counts(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
     """One row per distinct term of each row's array: ``keep``, term, tf."""
-    counted = with_count_arrays(df, terms, *keep)
-    return counted.select(*keep, F.explode(computed("counts")).alias("_r")).select(*keep, "_r.term", "_r.tf")
-
-
-def with_count_arrays(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
-    """``keep`` and ``counts``, the distinct terms of each row's array with their tf.
-
-    A document is one row, so its terms are counted inside the row: sort them,
-    find where each run starts, take run lengths. Nothing is shuffled.
-    """
-    sorted_terms = df.select(*keep, F.sort_array(terms).alias("_t"))
-    n = F.size("_t")
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)),
-    )
-    runs = F.transform(
-        "_s",
-        lambda start, j: F.struct(
-            F.get("_t", start).alias("term"),
-            (F.coalesce(F.get("_s", j + 1), F.size("_t")) - start).cast("long").alias("tf"),
-        ),
-    )
-    counted = sorted_terms.withColumn("_s", F.when(n > 0, starts))
-    return counted.select(*keep, runs.alias("counts"))
+    return term_rows(df.select(*keep, terms.alias("words")), *keep, pairs=False)
 
 
 def snippet(content: Column | str, chars: int = 200) -> Column:

@@ -1,7 +1,6 @@
 """The TF-IDF index.
 
-Terms are counted and weighed inside their page's row, so text is never
-shuffled. What is: term counts, combined on the map side and without pairs of
+Terms are counted and weighed where their page is, so text is never shuffled. What is: term counts, combined on the map side and without pairs of
 rare words; when an index is stored, the postings, once.
 """
 
@@ -15,16 +14,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import (
-    bigrams,
-    computed,
-    tokens,
-    weighted_text,
-    with_count_arrays,
-    with_counts,
-    with_words,
-    words_and_pairs,
-)
+from pagewright.functions.counts import bit_filter, document_counts, term_arrays, term_rows, weighed_rows
+from pagewright.functions.text import bigrams, computed, tokens, weighted_text, with_words
 from pagewright.functions.urls import fill_domain
 from pagewright.params import IndexParams
 from pagewright.session import materialize, work_path
@@ -64,12 +55,7 @@ def ngram_positions(docs: DataFrame, params: IndexParams) -> DataFrame:
 
 def term_freq(docs: DataFrame, params: IndexParams, *keep: str) -> DataFrame:
     """page_id, term, tf of all words and word pairs."""
-    words = doc_words(docs, params, *keep)
-    return with_counts(words, words_and_pairs("words"), "page_id", *keep)
-
-
-def _document_counts(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return term_rows(doc_words(docs, params, *keep), "page_id", *keep)
 
 
 def _within_bounds(counts: DataFrame, docs: DataFrame, params: IndexParams) -> DataFrame:
@@ -81,54 +67,48 @@ def _within_bounds(counts: DataFrame, docs: DataFrame, params: IndexParams) -> D
 
 def doc_freq(docs: DataFrame, params: IndexParams) -> DataFrame:
     """term, df, cf of all terms within the document-frequency bounds."""
-    return _within_bounds(_document_counts(term_freq(docs, params)), docs, params)
+    return _within_bounds(document_counts(doc_words(docs, params)), docs, params)
 
 
-def _word_filter(words: DataFrame) -> Callable[[Column], Column]:
+def _word_filter(words: DataFrame) -> Callable[[str], bool]:
     """A test that holds for all of ``words(term)`` and for few others.
 
     Each word sets a bit by its hash; there are at least 64 bits for a word, up
-    to the size that tasks may carry. The bits are a constant of the plan.
+    to the size that tasks may carry. The bits travel with the tasks.
     """
     n = words.count()
     bits = min(_FILTER_BITS, max(1 << 12, 1 << (64 * n).bit_length()))
-    at = F.pmod(F.xxhash64("term"), F.lit(bits))
+    at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(bits))
     mask = F.expr("shiftleft(1L, cast(at & 63 as int))")
     rows = words.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(mask).alias("mask")).collect()
     cells = [0] * (bits // 64)
     for row in rows:
         cells[row["cell"]] = row["mask"]
-    table = F.from_json(F.lit(json.dumps(cells)), "array<bigint>")
+    return bit_filter(cells)
 
-    def holds(word: Column) -> Column:
-        place = F.pmod(F.xxhash64(word), F.lit(bits))
-        cell = F.get(table, F.shiftright(place, 6).cast("int"))
-        return F.getbit(cell, place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    return holds
+def frequent_terms(docs: DataFrame, params: IndexParams) -> DataFrame:
+    """``doc_freq`` without word pairs that cannot enter the vocabulary."""
+    return _frequent_terms(_stored_words(docs, params), docs, params)
 
 
-def frequent_terms(docs: DataFrame, params: IndexParams) -> DataFrame:
-    """``doc_freq`` without word pairs that cannot enter the vocabulary.
+def _stored_words(docs: DataFrame, params: IndexParams) -> DataFrame:
+    """``doc_words`` with the domain, written: several passes read them, and text is cut into words once."""
+    return materialize(doc_words(docs, params, "domain"), "words")
 
-    A pair is no more frequent than either of its words. So once the
+
+def _frequent_terms(words: DataFrame, docs: DataFrame, params: IndexParams) -> DataFrame:
+    """A pair is no more frequent than either of its words. So once the
     ``max_features``-th most frequent word is known, only pairs of words at
     least as frequent can enter, and the long tail of pairs, most of all terms,
     is dropped inside the page's row. With fewer words than that, none is. The
     test may let a pair pass that cannot enter; it is counted like the others.
     """
-    words = doc_words(docs, params)
-    single = materialize(
-        _document_counts(with_counts(words, F.col("words"), "page_id")), "word-counts"
-    )
+    single = materialize(document_counts(words, pairs=False), "word-counts")
     allowed = _within_bounds(single, docs, params)
     weakest = vocabulary(allowed, params).agg(F.count("*").alias("n"), F.min("cf").alias("cf")).first()
-    if weakest.n == params.max_features:
-        holds = _word_filter(single.where(F.col("cf") >= weakest.cf).select("term"))
-        words = words.select("page_id", F.transform("words", lambda w: F.when(holds(w), w)).alias("words"))
-    pairs = F.filter(bigrams("words"), lambda pair: pair.isNotNull())
-    double = with_counts(words, pairs, "page_id")
-    return allowed.unionByName(_within_bounds(_document_counts(double), docs, params))
+    holds = _word_filter(single.where(F.col("cf") >= weakest.cf).select("term")) if weakest.n == params.max_features else None
+    return allowed.unionByName(_within_bounds(document_counts(words, singles=False, holds=holds), docs, params))
 
 
 def vocabulary(frequencies: DataFrame, params: IndexParams) -> DataFrame:
@@ -181,9 +161,7 @@ def weigh(words: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
     ``words`` has ``keep`` and the array ``words``. A row's terms are filtered,
     counted, weighed and normalised inside the row.
     """
-    idf = _term_weights(vocab)
-    known = F.filter(words_and_pairs("words"), lambda term: idf(term).isNotNull())
-    return _weigh_counts(with_count_arrays(words, known, *keep), idf, *keep)
+    return weighed_rows(words, {row["term"]: row["idf"] for row in vocab.select("term", "idf").collect()}, *keep)
 
 
 def _weigh_counts(counted: DataFrame, idf: Callable[[Column], Column], *keep: str) -> DataFrame:
@@ -223,9 +201,10 @@ def build_index(pages: DataFrame, params: IndexParams = IndexParams()) -> Index:
     can satisfy both frequency bounds.
     """
     docs = index_docs(pages)
-    top = vocabulary(frequent_terms(docs, params), params)
+    words = _stored_words(docs, params)
+    top = vocabulary(_frequent_terms(words, docs, params), params)
     vocab = materialize(with_idf(top, docs), "vocabulary")
-    return Index(docs, vocab, weigh(doc_words(docs, params, "domain"), vocab, "page_id", "domain"), params)
+    return Index(docs, vocab, weigh(words, vocab, "page_id", "domain"), params)
 
 
 _POSTINGS = "page_id BIGINT, domain STRING, term STRING, tf BIGINT, weight DOUBLE, domain_part INT"
@@ -321,8 +300,7 @@ def add_pages(store: CountStore, pages: DataFrame, params: IndexParams = IndexPa
     """
     docs = materialize(index_docs(pages).withColumn("page_id", F.col("page_id").cast("long")), "new-docs")
     words = doc_words(docs, params, "domain")
-    new = materialize(with_count_arrays(words, words_and_pairs("words"), "page_id", "domain").withColumn(
-        "counts", F.coalesce("counts", F.array().cast("array<struct<term:string,tf:bigint>>"))), "new-counts")
+    new = materialize(term_arrays(words, "page_id", "domain"), "new-counts")
     old = store.counts.read(store.counts.touched(new)).join(new.select("page_id"), "page_id", "left_semi")
 
     def change(rows: DataFrame, sign: int) -> DataFrame:
