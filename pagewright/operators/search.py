@@ -48,7 +48,22 @@ def cosine_scores(postings: DataFrame, vectors: DataFrame, index: Index | None =
     Both sides are unit vectors, so the sum of products is the cosine. Queries
     within a domain are joined by term and domain. Of a stored ``index`` they
     read only the folders that hold their domains.
+
+    The query vectors are written first and go to the postings in slices of
+    bounded size: so postings stay where they are, and in a stored index, whose
+    shards hold whole pages, scores are complete before anything moves.
     """
+    vectors = materialize(vectors, "query-vectors")
+    slices = -(-vectors.count() // _SLICE_ROWS)
+    scores = None
+    for k in range(max(slices, 1)):
+        mine = vectors if slices <= 1 else vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == k)
+        some = _slice_scores(postings, F.broadcast(mine), index)
+        scores = some if scores is None else scores.unionByName(some)
+    return scores
+
+
+def _slice_scores(postings: DataFrame, vectors: DataFrame, index: Index | None) -> DataFrame:
     inside = vectors.where(F.col("key") != "all")
     found = postings
     if index is not None and index.domain_parts:
@@ -61,20 +76,9 @@ def cosine_scores(postings: DataFrame, vectors: DataFrame, index: Index | None =
 
 
 def keyword_hits(queries: DataFrame, index: Index, params: SearchParams) -> DataFrame:
-    """All hits of the non-blank queries above the threshold.
-
-    The query vectors are written first and go to the postings in slices of
-    bounded size: so postings stay where they are, and in a stored index, whose
-    shards hold whole pages, scores are complete before anything moves.
-    """
-    vectors = materialize(query_vectors(queries, index), "query-vectors")
-    slices = -(-vectors.count() // _SLICE_ROWS)
-    hits = None
-    for k in range(max(slices, 1)):
-        mine = vectors if slices <= 1 else vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == k)
-        scores = cosine_scores(index.postings, F.broadcast(mine), index).where(F.col("score") > params.threshold)
-        hits = scores if hits is None else hits.unionByName(scores)
-    return hits
+    """All hits of the non-blank queries above the threshold."""
+    scores = cosine_scores(index.postings, query_vectors(queries, index), index)
+    return scores.where(F.col("score") > params.threshold)
 
 
 def _docs_by_key(queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import counts
 from pagewright.operators import index as ix
+from pagewright.operators import search as se
 from pagewright.params import IndexParams
 
 SCHEMA = "page_id long, domain string, words array<string>"
@@ -77,3 +78,16 @@ def test_pages_are_counted_and_weighed_without_sorting_arrays(spark, monkeypatch
     for df in (ix.term_freq(pages, index.params), ix.doc_freq(pages, index.params), index.postings):
         assert "array_sort" not in plan(df) and "sort_array" not in plan(df) and "MapInArrow" in plan(df)
     assert "regexp" not in plan(index.postings) and "split(" not in plan(index.postings)  # text is cut into words once
+
+
+def test_scores_do_not_move_postings_to_query_terms(spark):
+    rows = [(i, f"u{i}", f"title{i % 5}", f"text word{i % 7} more{i % 3}", "d") for i in range(40)]
+    index = ix.build_index(spark.createDataFrame(rows, "page_id long, url string, title string, content string, domain string"))
+    queries = spark.createDataFrame([(1, "title1 word2", None), (2, "more1", "d")], "query_id long, query string, domain_filter string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        scores = se.cosine_scores(index.postings, se.query_vectors(queries, index))
+        assert "SortMergeJoin" not in plan(scores) and scores.count() > 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
