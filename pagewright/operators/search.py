@@ -32,12 +32,10 @@ def query_vectors(queries: DataFrame, index: Index) -> DataFrame:
     return weigh(words, index.vocab, "query_id", "key")
 
 
-def _scores(postings: DataFrame, vectors: DataFrame, domains: bool) -> DataFrame:
+def _scores(postings: DataFrame, vectors: DataFrame) -> DataFrame:
     d, q = postings.alias("d"), vectors.alias("q")
-    same = F.col("d.term") == F.col("q.term")
-    if domains:
-        same = same & (F.col("d.domain") == F.col("q.key"))
-    return d.join(q, same).groupBy("q.query_id", "d.page_id").agg(
+    within = (F.col("q.key") == "all") | (F.col("d.domain") == F.col("q.key"))
+    return d.join(q, (F.col("d.term") == F.col("q.term")) & within).groupBy("q.query_id", "d.page_id").agg(
         F.sum(F.col("d.weight") * F.col("q.weight")).alias("score")
     )
 
@@ -46,8 +44,8 @@ def cosine_scores(postings: DataFrame, vectors: DataFrame, index: Index | None =
     """query_id, page_id, score of every pair that shares a term.
 
     Both sides are unit vectors, so the sum of products is the cosine. Queries
-    within a domain are joined by term and domain. Of a stored ``index`` they
-    read only the folders that hold their domains.
+    within a domain meet its postings only. Of a stored ``index`` they read only
+    the folders that hold their domains.
 
     The query vectors are written first and go to the postings in slices of
     bounded size: so postings stay where they are, and in a stored index, whose
@@ -64,15 +62,16 @@ def cosine_scores(postings: DataFrame, vectors: DataFrame, index: Index | None =
 
 
 def _slice_scores(postings: DataFrame, vectors: DataFrame, index: Index | None) -> DataFrame:
+    """Postings that are worked out are read once; a stored index once for all domains, and some folders again."""
+    if index is None or not index.domain_parts:
+        return _scores(postings, vectors)
     inside = vectors.where(F.col("key") != "all")
-    found = postings
-    if index is not None and index.domain_parts:
-        part = domain_part(F.col("key"), index.domain_parts)
-        # At most as many rows as an index has folders.
-        parts = [r[0] for r in inside.select(part).distinct().collect()]
-        found = postings.where(F.col("domain_part").isin(parts))
-    everywhere = _scores(postings, vectors.where(F.col("key") == "all"), domains=False)
-    return everywhere.unionByName(_scores(found, inside, domains=True))
+    part = domain_part(F.col("key"), index.domain_parts)
+    # At most as many rows as an index has folders.
+    parts = [r[0] for r in inside.select(part).distinct().collect()]
+    found = postings.where(F.col("domain_part").isin(parts))
+    everywhere = _scores(postings, vectors.where(F.col("key") == "all"))
+    return everywhere.unionByName(_scores(found, inside))
 
 
 def keyword_hits(queries: DataFrame, index: Index, params: SearchParams) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import counts
 from pagewright.operators import index as ix
 from pagewright.operators import search as se
-from pagewright.params import IndexParams
+from pagewright.params import IndexParams, SearchParams
 
 SCHEMA = "page_id long, domain string, words array<string>"
 ROWS = [
@@ -89,5 +89,7 @@ def test_scores_do_not_move_postings_to_query_terms(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
         scores = se.cosine_scores(index.postings, se.query_vectors(queries, index))
         assert "SortMergeJoin" not in plan(scores) and scores.count() > 10
+        hits = plan(se.keyword_hits(queries, index, SearchParams()))
+        assert hits.count("MapInArrow") == 1  # one pass serves the queries of all domains and of one
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
