@@ -19,10 +19,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -33,9 +35,9 @@ from pagewright.session import materialize
 _END = b"\n"  # no word: words hold no white space
 _FLUSH = 150_000
 _TOKENS = 250_000  # tokens of a slice of words
-_HELD = 40_000  # tokens whose bigrams are counted at once
+_HELD = 40_000  # bigrams of a slice that are added up at once, at least
 _PAIRS = 500_000  # bigrams a task holds
-_SEEN = 100_000  # words whose numbers a task remembers
+_BYTES = 1 << 20  # text cut into words at once, unless one text has more
 _GAIN = 1e-3  # log-likelihood below which sums of a whole corpus are rounding
 _SETTLED = 1e-3  # log-likelihood a bigram: a thousandth of the perplexity
 
@@ -59,20 +61,61 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), _END]
 
 
+def coded(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """``tokens`` of some texts at once: the different ones, the number of each token, and how many each text has."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(int(np.searchsorted(size, (size[start - 1] if start else 0) + _BYTES, "right")), start + 1)
+        part = texts.slice(start, stop - start)
+        # Only ASCII is looked at, so the bytes need not be valid.
+        plain = pa.Array.from_buffers(pa.string(), len(part), part.buffers(), 0, part.offset)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        code = split.flatten().dictionary_encode()
+        words, at = code.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), code.indices.to_numpy()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        if b"" in words:  # before and behind white space at the ends
+            none = words.index(b"")
+            keep = at != none
+            bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
+            at = at[keep] - (at[keep] > none)
+            del words[none]
+        yield [*words, _END], np.insert(at, bounds[1:], len(words)), np.diff(bounds) + 1
+        start = stop
+
+
 def ending(word: bytes, endings: int) -> int:
     return zlib.crc32(word[-2:]) % endings
 
 
+class _Kinds(dict):
+    """Numbers of the endings by a word's last two bytes, each worked out once; the end comes after them."""
+
+    def __init__(self, endings: int):
+        super().__init__({_END: endings})
+        self.endings = endings
+
+    def __missing__(self, tail: bytes) -> int:
+        self[tail] = kind = ending(tail, self.endings)
+        return kind
+
+
+@lru_cache(maxsize=8)
+def _kinds(endings: int) -> _Kinds:
+    return _Kinds(endings)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-    counts: Counter = Counter()
+    counts: dict[bytes, int] = {}
 
     def out() -> pa.RecordBatch:
         return to_batch({"word": list(counts), "n": list(counts.values())}, schema)
 
     for batch in batches:
-        for text in batch.column("text"):
-            counts.update(tokens(text.as_py()))
+        for words, at, _ in coded(batch.column("text")):
+            for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
+                counts[word] = counts.get(word, 0) + n
             if len(counts) > _FLUSH:
                 yield out()
                 counts.clear()
@@ -97,13 +140,15 @@ class Vocabulary:
         return len(self.hashes) + self.endings + 1
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        n = len(self.hashes)
-        out = np.fromiter((n + ending(w, self.endings) for w in words), np.int64, len(words))
+        n, out = len(self.hashes), np.full(len(words), -1, np.int64)
         if n and words:
-            mine = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+            mine = np.fromiter(map(xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
             at = np.minimum(np.searchsorted(self.hashes, mine), n - 1)
             out = np.where(self.hashes[at] == mine, self.order[at], out)
-        return np.where(np.fromiter((w == _END for w in words), bool, len(words)), self.size - 1, out)
+        kinds = _kinds(self.endings)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = [n + kinds[words[i][-2:]] for i in rest.tolist()]
+        return out
 
 
 def _release() -> None:
@@ -111,6 +156,12 @@ def _release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def _ends(pairs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both numbers of bigrams. NumPy divides by a single number far quicker than it finds remainders."""
+    own = pairs // size
+    return own, pairs - own * size
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys, sorted, and the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -129,7 +180,7 @@ def _bigrams(known: Vocabulary, slices: int):
     def out(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         rows = []
         for right in (True, False):
-            own, other = np.divmod(pairs, size) if right else np.divmod(pairs, size)[::-1]
+            own, other = _ends(pairs, size) if right else _ends(pairs, size)[::-1]
             part = np.where(own < words, own % slices, slices)
             if right:
                 part = np.where((own >= words) & (other >= words), -1, part)
@@ -143,17 +194,7 @@ def _bigrams(known: Vocabulary, slices: int):
         return to_batch(dict(zip(_SLICE.names, zip(*rows))) if rows else dict.fromkeys(_SLICE.names, ()), _SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, held, before, number = [], [], size - 1, {}
-
-        def count() -> None:
-            nonlocal held, before, number
-            new = list(set(held).difference(number))
-            if len(number) + len(new) > _SEEN:
-                number, new = {}, list(set(held))
-            number.update(zip(new, known.numbers(new).tolist()))
-            ids = np.fromiter(map(number.__getitem__, held), np.int64, len(held))
-            pairs.append(np.concatenate([[before], ids[:-1]]) * size + ids)
-            held, before = [], ids[-1]
+        pairs = []
 
         def summed() -> pa.RecordBatch:
             nonlocal pairs
@@ -163,17 +204,12 @@ def _bigrams(known: Vocabulary, slices: int):
             return out(keys[first], np.diff(first, append=len(keys)))
 
         for batch in batches:
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                for start in range(0, len(words), _HELD):
-                    held += words[start:start + _HELD]
-                    if len(held) >= _HELD:
-                        count()
-                    if sum(map(len, pairs)) > _PAIRS:
-                        yield summed()
-                        _release()
-        if held:
-            count()
+            for different, at, _ in coded(batch.column("text")):
+                ids = known.numbers(different)[at]
+                pairs.append(np.concatenate([[size - 1], ids[:-1]]) * size + ids)
+                if sum(map(len, pairs)) > _PAIRS:
+                    yield summed()
+                    _release()
         yield summed()
         _release()
 
@@ -217,7 +253,7 @@ def _table(of: np.ndarray, total: int, words: int):
         found = np.zeros(total * total, np.int64)  # sums of the task, small as classes are few
         for batch in batches:
             for k in range(batch.num_rows):
-                own, other = np.divmod(np.frombuffer(batch.column("pairs")[k].as_buffer(), np.int64), len(of))
+                own, other = _ends(np.frombuffer(batch.column("pairs")[k].as_buffer(), np.int64), len(of))
                 n = np.frombuffer(batch.column("n")[k].as_buffer(), np.int64)
                 if not batch.column("right")[k].as_py():
                     keep = other >= words
@@ -248,7 +284,7 @@ def likelihood(table: np.ndarray) -> float:
 def gains(right: np.ndarray, left: np.ndarray, own: np.ndarray, old: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
     """Log-likelihood each word gains in each class, over that without the word.
 
-    ``right`` and ``left`` are a word's bigrams with classes but for the ``own``
+    ``right`` and ``left`` count a word's bigrams with classes but for the ``own``
     ones with itself. ``table`` has the words in their ``old`` classes.
     """
     out = np.zeros((len(right), classes))
@@ -258,15 +294,24 @@ def gains(right: np.ndarray, left: np.ndarray, own: np.ndarray, old: np.ndarray,
         w, d = np.nonzero(here)
         for start in range(0, len(w), 20_000):
             wi, di = w[start:start + 20_000], d[start:start + 20_000]
-            n = here[wi, di]
-            base = cells[:, di].T.copy()
-            back = di == old[wi]
-            base[back] -= there[wi[back]][:, :classes]
-            mine = np.flatnonzero(old[wi] < classes)
-            base[mine, old[wi[mine]]] -= n[mine]
-            both = np.flatnonzero(back & (old[wi] < classes))
-            base[both, di[both]] -= own[wi[both]]
-            _add_runs(out, wi, _f(base + n[:, None]) - _f(base))
+            n, was = here[wi, di], old[wi]
+            # Words with as many bigrams with a class gain alike, which is worked out once for all of them.
+            most = int(n.max()) + 1
+            kinds, of_kind = np.unique(di * most + n.astype(np.int64), return_inverse=True)
+            kind_d, kind_n = _ends(kinds, most)
+            base = cells[:, kind_d].T
+            value = (_f(base + kind_n[:, None]) - _f(base))[of_kind]
+            # But not where the table has bigrams of the word itself.
+            mine = np.flatnonzero((was < classes) & (di != was))
+            base = cells[was[mine], di[mine]] - n[mine]
+            value[mine, was[mine]] = _f(base + n[mine]) - _f(base)
+            back = np.flatnonzero(di == was)
+            base = cells[:, di[back]].T - there[wi[back]][:, :classes]
+            inside = np.flatnonzero(was[back] < classes)
+            at = back[inside]
+            base[inside, was[at]] -= n[at] + own[wi[at]]
+            value[back] = _f(base + n[back][:, None]) - _f(base)
+            _add_runs(out, wi, value)
     # Cells of a class with itself get all three at once.
     diagonal = np.tile(table[k, k], (len(right), 1))
     inside = np.flatnonzero(old < classes)
@@ -305,7 +350,7 @@ def _moves(of: np.ndarray, table: np.ndarray, classes: int, words: int):
                 own, tables = np.zeros(len(part)), {}
                 for right, (pairs, n) in sides.items():
                     a, b = np.searchsorted(pairs, [part[0] * len(of), (part[-1] + 1) * len(of)])
-                    w, other = np.divmod(pairs[a:b], len(of))
+                    w, other = _ends(pairs[a:b], len(of))
                     at, n = np.searchsorted(part, w), n[a:b]
                     self_ = w == other
                     own[at[self_]] = n[self_]
@@ -482,25 +527,28 @@ def _score(model: BrownModel):
                         ("emitted", pa.float64()), ("walked", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = pa.array(list(model.head), pa.binary())
         for batch in batches:
             out = {f.name: [] for f in schema}
             out["doc_id"], out["held_out"] = batch.column("doc_id"), batch.column("held_out")
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                at = np.fromiter(map(model.head.get, words, repeat(-1)), np.int32, len(words))
-                often = at >= 0
-                rare = [words[i] for i in np.flatnonzero(~often)]
-                ids = np.full(len(words) + 1, model.end, np.int32)
-                ids[1:][often] = model.kinds[at[often]]
-                ids[1:][~often] = model.of[model.known.numbers(rare)]
-                ids[-1] = model.end
-                times = Counter(rare)
-                out["n_tokens"].append(len(words))
-                out["known"].append(len(words) - len(rare))
-                out["emitted"].append(float(model.logs[at[often]].sum()))
-                out["walked"].append(float(model.step[ids[:-1], ids[1:]].sum()))
-                out["rare"].append(list(times))
-                out["times"].append(list(times.values()))
+            for different, at, sizes in coded(batch.column("text")):
+                place = pc.fill_null(pc.index_in(pa.array(different, pa.binary()), value_set=head), -1).to_numpy()
+                kinds = np.empty(len(different), np.int32)
+                kinds[place >= 0] = model.kinds[place[place >= 0]]
+                kinds[place < 0] = model.of[model.known.numbers([different[i] for i in np.flatnonzero(place < 0).tolist()])]
+                kinds[-1] = model.end
+                for stop, size in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+                    mine = at[stop - size:stop]
+                    places = place[mine]
+                    often = places >= 0
+                    times = Counter([different[i] for i in mine[~often].tolist()])
+                    ids = np.concatenate([[model.end], kinds[mine]])
+                    out["n_tokens"].append(size)
+                    out["known"].append(int(often.sum()))
+                    out["emitted"].append(float(model.logs[places[often]].sum()))
+                    out["walked"].append(float(model.step[ids[:-1], ids[1:]].sum()))
+                    out["rare"].append(list(times))
+                    out["times"].append(list(times.values()))
             yield to_batch(out, schema)
 
     return run

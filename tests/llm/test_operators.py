@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -300,6 +301,17 @@ def test_unigram_scores_are_exact(spark, odd):
             assert abs(r.base_score - base) < 1e-6 and r.score < 0
 
 
+def test_tokens_of_many_texts_are_coded_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.choice(np.frombuffer(b"aAB \t\n\x0b\x0c\r\x1c\x85\xa0\xff\xc3z", np.uint8), n)) for n in rng.integers(0, 12, 2000)]
+    monkeypatch.setattr(brown, "_BYTES", 300)
+    got = []
+    for words, at, sizes in brown.coded(pa.array(texts, pa.binary()).slice(3)):
+        assert len(set(words)) == len(words)
+        got += [[words[i] for i in part] for part in np.split(at, np.cumsum(sizes)[:-1])]
+    assert got == [brown.tokens(t) for t in texts[3:]]
+
+
 def test_exchange_finds_classes():
     rng = random.Random(2)
     groups = [range(0, 10), range(10, 20), range(20, 30)]
