@@ -230,7 +230,10 @@ def _values(parts: list[str], model: ToxicityModel) -> np.ndarray:
 
 
 def _known(words: set[str], model: ToxicityModel) -> dict[str, float]:
-    cache = _cache.setdefault(model.key(), {})
+    """The values of ``words`` and of others met before; those of one model are kept, as a worker outlives its task."""
+    if (key := model.key()) not in _cache:
+        _cache.clear()
+    cache = _cache.setdefault(key, {})
     new = [w for w in words if w not in cache]
     if len(cache) + len(new) > _CACHED:
         cache.clear()

@@ -247,6 +247,13 @@ def test_toxic_words_are_learned_from_all_windows():
     assert (toxicity.decisions(list(clean), model) < 0).all()
 
 
+def test_a_worker_keeps_the_values_of_one_model():
+    models = [toxicity.ToxicityModel(np.full(1 << 18, k, np.float32), k, (1.0, 0.0), 0.0, toxicity.ToxicityParams()) for k in (1.0, 2.0)]
+    values = [dict(toxicity._known({"word", "other"}, m)) for m in (*models, models[0])]
+    assert values[0] == values[2] != values[1]
+    assert list(toxicity._cache) == [models[0].key()]
+
+
 def test_languages(spark, odd):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
     model = language.fit(docs.where("doc_id % 3 != 0"))
