@@ -379,7 +379,7 @@ def query_vectors(spark, sf):
 def cosine_scores(spark, sf):
     index = V.doc_index(spark, sf)
     vectors = search.query_vectors(V.queries(spark, sf), index)
-    return rounded(search.cosine_scores(index.postings, vectors), "score")
+    return rounded(search.cosine_scores(index.postings, vectors, index), "score")
 
 
 def _ranked(found):

@@ -141,7 +141,7 @@ def search_cached(
     entries = misses.join(found, "query_id").select(
         "query", "domain_filter", "blank", "total_found", F.lit(kept).alias("kept"))
     header = materialize(header_rows(entries, as_of, params).select(*cache.header.columns), "new-entries")
-    hits = keyword_hits(misses.where("not blank"), index, params)
+    hits = keyword_hits(misses.where("not blank"), index, params, kept)
     ranked = materialize(top_rows(hits, "query_id", rank_order(), kept, "rank"), "ranked")
     new_records = materialize(
         as_records(describe(ranked)).join(misses.select("query_id", "query_hash"), "query_id").select(*cache.records.columns),

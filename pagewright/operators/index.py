@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.counts import bit_filter, document_counts, term_arrays, term_rows, weighed_rows
+from pagewright.functions.counts import bit_filter, document_counts, scored_rows, term_arrays, term_rows, weighed_rows
 from pagewright.functions.text import bigrams, computed, tokens, weighted_text, with_words
 from pagewright.functions.urls import fill_domain
 from pagewright.params import IndexParams
@@ -161,7 +161,17 @@ def weigh(words: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
     ``words`` has ``keep`` and the array ``words``. A row's terms are filtered,
     counted, weighed and normalised inside the row.
     """
-    return weighed_rows(words, {row["term"]: row["idf"] for row in vocab.select("term", "idf").collect()}, *keep)
+    return weighed_rows(words, _idf(vocab), *keep)
+
+
+def _idf(vocab: DataFrame) -> dict[str, float]:
+    return {row["term"]: row["idf"] for row in vocab.select("term", "idf").collect()}
+
+
+def score_words(words: DataFrame, vocab: DataFrame, vectors: DataFrame, least: float | None = None, best: int | None = None) -> DataFrame:
+    """query_id, page_id, score of each row of ``words``, see ``scored_rows``; ``vectors`` must be few."""
+    asked = vectors.select(F.col("query_id").cast("long").alias("query_id"), "key", "term", "weight").toArrow()
+    return scored_rows(words, _idf(vocab), asked, least, best)
 
 
 def _weigh_counts(counted: DataFrame, idf: Callable[[Column], Column], *keep: str) -> DataFrame:
@@ -181,7 +191,9 @@ class Index:
     postings: page_id, domain, term, tf, weight.
 
     A stored index was read from ``path``. Its postings are in shards by page
-    and, inside, in ``domain_parts`` folders by domain.
+    and, inside, in ``domain_parts`` folders by domain. One that was built from
+    texts has their ``words`` (page_id, domain, words), from which postings are
+    worked out.
     """
 
     docs: DataFrame
@@ -190,6 +202,7 @@ class Index:
     params: IndexParams
     path: str | None = None
     domain_parts: int = 0
+    words: DataFrame | None = None
 
 
 def build_index(pages: DataFrame, params: IndexParams = IndexParams()) -> Index:
@@ -204,7 +217,7 @@ def build_index(pages: DataFrame, params: IndexParams = IndexParams()) -> Index:
     words = _stored_words(docs, params)
     top = vocabulary(_frequent_terms(words, docs, params), params)
     vocab = materialize(with_idf(top, docs), "vocabulary")
-    return Index(docs, vocab, weigh(words, vocab, "page_id", "domain"), params)
+    return Index(docs, vocab, weigh(words, vocab, "page_id", "domain"), params, words=words)
 
 
 _POSTINGS = "page_id BIGINT, domain STRING, term STRING, tf BIGINT, weight DOUBLE, domain_part INT"

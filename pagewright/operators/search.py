@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import snippet, strip, with_words
-from pagewright.operators.index import Index, domain_part, weigh
+from pagewright.operators.index import Index, domain_part, score_words, weigh
 from pagewright.params import SearchParams
 from pagewright.session import materialize
 
@@ -40,8 +40,10 @@ def _scores(postings: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def cosine_scores(postings: DataFrame, vectors: DataFrame, index: Index | None = None) -> DataFrame:
-    """query_id, page_id, score of every pair that shares a term.
+def cosine_scores(
+    postings: DataFrame, vectors: DataFrame, index: Index | None = None, least: float | None = None, best: int | None = None
+) -> DataFrame:
+    """query_id, page_id, score of every pair that shares a term, or of those above ``least``.
 
     Both sides are unit vectors, so the sum of products is the cosine. Queries
     within a domain meet its postings only. Of a stored ``index`` they read only
@@ -50,17 +52,43 @@ def cosine_scores(postings: DataFrame, vectors: DataFrame, index: Index | None =
     The query vectors are written first and go to the postings in slices of
     bounded size: so postings stay where they are, and in a stored index, whose
     shards hold whole pages, scores are complete before anything moves.
+
+    An ``index`` that has its pages' words is scored from them, each page in its
+    row; with ``best``, rows that are not among so many best ones of their query
+    may be left out there. Only rows of pages whose id repeats are added up.
     """
     vectors = materialize(vectors, "query-vectors")
     slices = -(-vectors.count() // _SLICE_ROWS)
-    scores = None
+    scores = again = None
     for k in range(max(slices, 1)):
         mine = vectors if slices <= 1 else vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == k)
-        some = _slice_scores(postings, F.broadcast(mine), index)
+        if index is not None and index.words is not None:
+            again = _repeated_pages(index) if again is None else again
+            some = _word_scores(index, again, mine, least, best)
+        else:
+            some = _slice_scores(postings, F.broadcast(mine), index)
+            some = some if least is None else some.where(F.col("score") > least)
         scores = some if scores is None else scores.unionByName(some)
     return scores
 
 
+def _repeated_pages(index: Index) -> DataFrame:
+    """``_id``: page ids of more than one row."""
+    rows = index.words.groupBy(F.col("page_id").alias("_id")).agg(F.count("*").alias("n"))
+    return materialize(rows.where("n > 1").select("_id"), "repeated-pages")
+
+
+def _word_scores(index: Index, again: DataFrame, vectors: DataFrame, least: float | None, best: int | None) -> DataFrame:
+    """Scores from the words of pages; a page that is one row is scored, and left out, where it is."""
+    if again.isEmpty():
+        return score_words(index.words, index.vocab, vectors, least, best)
+    same = F.col("page_id").eqNullSafe(F.col("_id"))
+    once = score_words(index.words.join(again, same, "left_anti"), index.vocab, vectors, least, best)
+    often = score_words(index.words.join(again, same, "left_semi"), index.vocab, vectors)
+    often = often.groupBy("query_id", "page_id").agg(F.sum("score").alias("score"))
+    return once.unionByName(often if least is None else often.where(F.col("score") > least))
+
+
 def _slice_scores(postings: DataFrame, vectors: DataFrame, index: Index | None) -> DataFrame:
     """Postings that are worked out are read once; a stored index once for all domains, and some folders again."""
     if index is None or not index.domain_parts:
@@ -74,10 +102,9 @@ def _slice_scores(postings: DataFrame, vectors: DataFrame, index: Index | None)
     return everywhere.unionByName(_scores(found, inside))
 
 
-def keyword_hits(queries: DataFrame, index: Index, params: SearchParams) -> DataFrame:
-    """All hits of the non-blank queries above the threshold."""
-    scores = cosine_scores(index.postings, query_vectors(queries, index), index)
-    return scores.where(F.col("score") > params.threshold)
+def keyword_hits(queries: DataFrame, index: Index, params: SearchParams, best: int | None = None) -> DataFrame:
+    """All hits of the non-blank queries above the threshold, or at least the ``best`` of each query."""
+    return cosine_scores(index.postings, query_vectors(queries, index), index, params.threshold, best)
 
 
 def _docs_by_key(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -126,7 +153,7 @@ def rank_order() -> list[Column]:
 
 def ranked_hits(queries: DataFrame, index: Index, params: SearchParams) -> DataFrame:
     """query_id, rank, page_id, score: the best hits of each query."""
-    hits = keyword_hits(queries, index, params)
+    hits = keyword_hits(queries, index, params, params.limit)
     scored = top_rows(hits, "query_id", rank_order(), params.limit, "rank")
     blank = blank_hits(queries, index.docs, params.limit)
     listed = top_rows(blank, "query_id", [F.col("page_id")], params.limit, "rank")

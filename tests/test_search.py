@@ -161,6 +161,27 @@ def test_queries_in_slices_give_the_same_scores(spark, index, monkeypatch):
     assert whole == sorted((r.query_id, r.page_id, round(r.score, 9)) for r in se.keyword_hits(queries, index, SearchParams()).collect())
 
 
+def test_pages_are_scored_in_their_row(spark, monkeypatch):
+    rows = [(i, f"u{i}", f"word{i % 9} thing{i % 7}", f"text word{i % 11} again{i % 5}", f"d{i % 4}" if i % 13 else None) for i in range(120)]
+    queries = ask(spark, "word3 thing4", ("word3 again1", "d2"), "text", ("again1 thing2", "none"), "word3 thing4").unionByName(
+        spark.createDataFrame([(0, "again1", "d3"), (None, "word5", "d1")], QUERIES))
+    monkeypatch.setattr("pagewright.functions.counts._PRODUCTS", 50)
+
+    def rounded(scores):
+        return sorted((r.query_id or -1, r.page_id or -1, round(r.score, 9)) for r in scores.collect())
+
+    for more in ([], [rows[3], rows[3], (None, *rows[5][1:]), (None, *rows[6][1:])]):
+        index = ix.build_index(spark.createDataFrame(rows + more, SCHEMA))
+        vectors = se.query_vectors(queries, index)
+        hits = se.cosine_scores(index.postings, vectors, index)
+        assert rounded(hits) == rounded(se.cosine_scores(index.postings, vectors)) and hits.count() > 100
+        if not more:
+            assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+        best = se.cosine_scores(index.postings, vectors, index, best=3)
+        assert hits.count() > best.count()
+        assert rounded(se.top_rows(best, "query_id", se.rank_order(), 3, "rank")) == rounded(se.top_rows(hits, "query_id", se.rank_order(), 3, "rank"))
+
+
 def test_pairs_are_dropped_inside_their_page(spark):
     rows = [(i, f"u{i}", f"common shared{i % 3}", f"rare{i} common shared{i % 3} rare{i + 1}", "d") for i in range(50)]
     docs = spark.createDataFrame(rows, SCHEMA)
